@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_tree
+from .media import op9_media_columns
+from .packing import op7_best_fit_packing
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_bpe_tree,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_best_fit_packing, op9_media_columns, op10_bpe_tree)}
 
 ORACLES: dict[str, str] = {}
