@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe_tree
 from .media import op9_media_columns
 from .packing import op7_best_fit_packing
+from .secrets import op2_guess_cost_secrets
+from .sharding import op1_kd_sharding
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_best_fit_packing, op9_media_columns, op10_bpe_tree)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_sharding, op2_guess_cost_secrets, op7_best_fit_packing, op9_media_columns, op10_bpe_tree)}
 
 ORACLES: dict[str, str] = {}
