@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_bpe_tree
+from .langid import op8_nearest_centroid_language
 from .media import op9_media_columns
+from .neighbours import op6_multi_index_hashing
 from .packing import op7_best_fit_packing
-from .secrets import op2_guess_cost_secrets
+from .secret_scan import op2_guess_cost_secrets
 from .sharding import op1_kd_sharding
+from .toxicity import op4_toxic_segments
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_sharding, op2_guess_cost_secrets, op7_best_fit_packing, op9_media_columns, op10_bpe_tree)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_sharding, op2_guess_cost_secrets, op4_toxic_segments, op6_multi_index_hashing, op7_best_fit_packing, op8_nearest_centroid_language, op9_media_columns, op10_bpe_tree)}
 
 ORACLES: dict[str, str] = {}
