@@ -20,35 +20,67 @@ as in the library's default; further columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import distinct_spans, slices, table
 
-LEAF_CHARS = 16_384
-GIANT_CHARS = 4_096
+LEAF_BYTES = 8_192
+GIANT_BYTES = 4_096
 SPLIT_CHARS = 1_000_000
-CACHE_ENTRIES = 400_000
-SPACE_AFTER_SPACE = re.compile(r"\s ")
+GROUP_BYTES = 4_000_000
+CACHE_ENTRIES = 600_000
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def members(*codes: int) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(codes)] = True
+    return found
+
+
+SPACES = members(*range(9, 14), *range(28, 33))
+# the last two bytes of white space outside ASCII, in UTF-8
+WIDE_LAST = members(0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F)
+WIDE_BEFORE = members(0xC2, 0x80, 0x81, 0x9A)
+
+
+@dataclass
+class Part:
+    """An encoded stretch of text: where its chunks start, their numbers of ids, the ids."""
+
+    data: bytes
+    starts: np.ndarray
+    counts: np.ndarray
+    ids: np.ndarray
+
+    def slice(self, a: int, b: int) -> Part:
+        """The chunks from a to b."""
+        n = len(self.starts)
+        at, end = (self.starts[a] if a < n else len(self.data)), (self.starts[b] if b < n else len(self.data))
+        first, size = self.counts[:a].sum(), self.counts[a:b].sum()
+        return Part(self.data[at:end], self.starts[a:b] - at, self.counts[a:b], self.ids[first : first + size])
+
+    def __add__(self, other: Part) -> Part:
+        return Part(self.data + other.data, np.concatenate([self.starts, other.starts + len(self.data)]), np.concatenate([self.counts, other.counts]), np.concatenate([self.ids, other.ids]))
+
+
 class Encoder:
-    """One tokenizer file in a worker, with the encodings of the chunks seen last."""
+    """One tokenizer file in a worker, with the encodings of chunks seen before."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cache: dict[bytes, bytes] = {}
         self._pieces: list[bytes] | None = None
 
     # -- encoding -------------------------------------------------------------------------------
@@ -56,99 +88,134 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """Cut before each space that follows no white space; the chunks joined are the text."""
-        parts = text.split(" ")
-        if not SPACE_AFTER_SPACE.search(text):
-            return [parts[0], *(" " + p for p in parts[1:])]
-        out = [parts[0]]
-        for before, p in zip(parts, parts[1:]):
-            if out[-1] and (not before or before[-1].isspace()):
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-        return out
-
-    def _fill(self, wanted: set[str]) -> None:
-        cache = self.cache
-        missing = [c for c in wanted if c not in cache]
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache.clear()
-            missing = list(wanted)
-        short = [c for c in missing if len(c) <= GIANT_CHARS]
-        cache.update(zip(short, self._raw(short)))
-        for c in missing:
-            if len(c) > GIANT_CHARS:
-                cache[c] = self._giant(c)
-
-    def _leaf(self, text: str) -> tuple[list[str], list[bytes]]:
-        chunks = self.chunks(text)
-        try:
-            return chunks, [self.cache[c] for c in chunks]
-        except KeyError:
-            self._fill(set(chunks))
-            return chunks, [self.cache[c] for c in chunks]
-
-    def _tree(self, text: str) -> tuple[list[str], list[bytes]]:
-        if len(text) <= LEAF_CHARS:
-            return self._leaf(text)
-        half = len(text) // 2
-        return self.join(self._tree(text[:half]), self._tree(text[half:]))
-
-    def join(self, left: tuple[list[str], list[bytes]], right: tuple[list[str], list[bytes]]) -> tuple[list[str], list[bytes]]:
+    def _known(self, wanted: list[bytes]) -> list[bytes]:
+        """The ids of chunks; a full cache keeps its older half, as frequent words come early."""
+        found = list(map(self.cache.get, wanted))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            if len(self.cache) + len(missing) > CACHE_ENTRIES:
+                self.cache = dict(islice(self.cache.items(), CACHE_ENTRIES // 2))
+            short = [i for i in missing if len(wanted[i]) <= GIANT_BYTES]
+            for i, ids in zip(short, self._raw([wanted[i].decode() for i in short])):
+                found[i] = self.cache[wanted[i]] = ids
+            for i in missing:
+                if found[i] is None:
+                    found[i] = self._giant(wanted[i].decode())
+        return found
+
+    def _starts(self, a: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Chunks begin where texts do, and at spaces that follow no white space."""
+        at = np.flatnonzero((a[1:] == 32) & ~SPACES[a[:-1]]) + 1
+        at = at[~(WIDE_LAST[a[at - 1]] & WIDE_BEFORE[a[np.maximum(at - 2, 0)]])]
+        mark = np.zeros(len(a), bool)
+        mark[at] = mark[begins] = True
+        return np.flatnonzero(mark)
+
+    def _leaves(self, texts: list[bytes]) -> list[Part]:
+        """Texts that are not empty, all at once."""
+        data = b"".join(texts)
+        a = np.frombuffer(data, np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        begins = np.append(0, ends[:-1])
+        starts = self._starts(a, begins)
+        lengths = np.diff(np.append(starts, len(a)))
+        codes, first = distinct_spans(a, starts, lengths)
+        known = self._known([data[s : s + n] for s, n in zip(starts[first].tolist(), lengths[first].tolist())])
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        counts, at = size[codes], (np.cumsum(size) - size)[codes]
+        ids = flat[np.arange(counts.sum()) + np.repeat(at - (np.cumsum(counts) - counts), counts)]
+        chunk = np.append(np.searchsorted(starts, begins), len(starts))
+        token = np.append(0, np.cumsum(counts))[chunk]
+        return [Part(t, starts[c:d] - b, counts[c:d], ids[i:j]) for t, b, c, d, i, j in zip(texts, begins, chunk, chunk[1:], token, token[1:])]
+
+    def join(self, left: Part, right: Part) -> Part:
         """The encoding of the concatenation, from those of its halves."""
-        width = 2
+        n, m, width = len(left.starts), len(right.starts), 2
         while True:
-            a, b = max(0, len(left[0]) - width), min(len(right[0]), width)
-            window = "".join(chain(left[0][a:], right[0][:b]))
-            chunks, ids = self._leaf(window)
-            if (a == 0 or chunks[0] == left[0][a]) and (b == len(right[0]) or chunks[-1] == right[0][b - 1]):
-                return left[0][:a] + chunks + right[0][b:], left[1][:a] + ids + right[1][b:]
+            a, b = max(0, n - width), min(m, width)
+            head, tail = left.slice(a, n), right.slice(0, b)
+            (window,) = self._leaves([head.data + tail.data])
+            left_agrees = a == 0 or np.array_equal(window.starts[:2], head.starts[:2])
+            right_agrees = b == m or window.starts[-1] == len(head.data) + tail.starts[-1]
+            if left_agrees and right_agrees:
+                return left.slice(0, a) + window + right.slice(b, m)
             width *= 2
 
+    def _joined(self, parts: list[Part]) -> Part:
+        while len(parts) > 1:
+            parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def halves(self, data: bytes) -> list[bytes]:
+        """Leaves of a text, cut between characters."""
+        if len(data) <= LEAF_BYTES:
+            return [data]
+        half = len(data) // 2
+        while data[half] & 0xC0 == 0x80:
+            half += 1
+        return self.halves(data[:half]) + self.halves(data[half:])
+
+    def parts(self, texts: list[bytes]) -> list[Part]:
+        leaves = [self.halves(t) for t in texts]
+        flat = [x for xs in leaves for x in xs]
+        done: list[Part] = []
+        at = size = 0
+        for i, x in enumerate(flat):
+            size += len(x)
+            if size >= GROUP_BYTES or i + 1 == len(flat):
+                done += self._leaves(flat[at : i + 1])
+                at, size = i + 1, 0
+        out, at = [], 0
+        for xs in leaves:
+            out.append(self._joined(done[at : at + len(xs)]))
+            at += len(xs)
+        return out
+
     def _giant(self, chunk: str) -> bytes:
         """A long chunk, pre-token by pre-token; a huge pre-token by its own tree."""
         pieces = [chunk[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
-        return b"".join(self._unbroken(p) if len(p) > GIANT_CHARS else self._raw([p])[0] for p in pieces)
+        return b"".join(self._unbroken(p) if len(p) > GIANT_BYTES else self._raw([p])[0] for p in pieces)
 
     def _unbroken(self, run: str) -> bytes:
-        if len(run) <= GIANT_CHARS:
+        if len(run) <= GIANT_BYTES:
             return self._raw([run])[0]
         half = len(run) // 2
         left, right = (np.frombuffer(self._unbroken(x), np.uint32) for x in (run[:half], run[half:]))
         width = 4
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
-            while a and not self._starts(left[a]):
+            while a and not self._whole(left[a]):
                 a -= 1
-            while b < len(right) and not self._starts(right[b]):
+            while b < len(right) and not self._whole(right[b]):
                 b += 1
             window = np.frombuffer(self._raw([self.decode(np.concatenate([left[a:], right[:b]]))])[0], np.uint32)
             if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
                 return np.concatenate([left[:a], window, right[b:]]).tobytes()
             width *= 2
 
-    def _starts(self, token: int) -> bool:
+    def _whole(self, token: int) -> bool:
         """Whether a token begins with a whole character."""
         return self.pieces[token][0] & 0xC0 != 0x80
 
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if t:
+                data = t.encode()
+                if any(s in data for s in self.special):
+                    out[i] = self._raw([t])[0]
+                else:
+                    plain.append((i, data))
+        if plain:
+            for (i, _), part in zip(plain, self.parts([d for _, d in plain])):
+                out[i] = part.ids.tobytes()
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._raw([text])[0]
-        return b"".join(self._tree(text)[1])
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """As ``encode``, with the unknown chunks of all texts encoded in one call."""
-        cache, wanted = self.cache, set()
-        for t in texts:
-            if t and len(t) <= LEAF_CHARS:
-                wanted.update(c for c in self.chunks(t) if c not in cache)
-        self._fill(wanted)
-        return [self.encode(t) for t in texts]
+        return self.encode_all([text])[0]
 
     # -- decoding -------------------------------------------------------------------------------
 
@@ -163,7 +230,7 @@ class Encoder:
             vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
             self._pieces = [b""] * (max(vocabulary.values()) + 1)
             for token, i in vocabulary.items():
-                self._pieces[i] = token.encode() if token in self.special else bytes(back[c] for c in token)
+                self._pieces[i] = token.encode() if token.encode() in self.special else bytes(back[c] for c in token)
         return self._pieces
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
@@ -225,22 +292,21 @@ def digests(docs: DataFrame, path: str, split_chars: int = SPLIT_CHARS) -> DataF
         enc = encoder(path)
         for part in slices(batches):
             for key, seg, text in zip(*(c.to_pylist() for c in part.columns)):
-                chunks, ids = enc._tree(text)
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([seg], pa.int32()), pa.array([chunks]), pa.array([ids], pa.list_(pa.binary()))], ["key", "seg", "chunks", "ids"])
+                (p,) = enc.parts([text.encode()])
+                lists = (pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (p.starts, p.counts, p.ids))
+                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([seg], pa.int32()), pa.array([p.data]), *lists], ["key", "seg", "data", "starts", "counts", "ids"])
 
-    encoded = segments.repartition("key", "seg").mapInArrow(leaves, "key string, seg int, chunks array<string>, ids array<binary>")
+    encoded = segments.repartition("key", "seg").mapInArrow(leaves, "key string, seg int, data binary, starts array<int>, counts array<int>, ids array<int>")
 
     def joined(pdf):
         import pandas as pd
 
         enc = encoder(path)
-        parts = [([*c], [*i]) for c, i in zip(pdf.sort_values("seg")["chunks"], pdf.sort_values("seg")["ids"])]
-        while len(parts) > 1:
-            parts = [enc.join(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        ids = b"".join(parts[0][1])
-        text = "".join(parts[0][0])
-        if any(s in text for s in enc.special):
-            ids = enc.encode(text)
+        pdf = pdf.sort_values("seg")
+        whole = enc._joined([Part(bytes(d), np.asarray(s, np.int64), np.asarray(c, np.int64), np.asarray(i, np.uint32)) for d, s, c, i in zip(pdf["data"], pdf["starts"], pdf["counts"], pdf["ids"])])
+        ids = whole.ids.tobytes()
+        if any(s in whole.data for s in enc.special):
+            ids = enc.encode(whole.data.decode())
         n, a, b = row(enc, ids)
         return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,3 +48,32 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000) -> Ite
         step = max(1, min(n, int(n * max_bytes / max(1, batch.nbytes))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd number, so that its powers have inverses
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def distinct_spans(a: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans that cover the bytes ``a`` or parts of them: (number of its distinct content, by
+    span; the first span with it, by distinct content). Grouped by a rolling hash; all bytes are then
+    compared, so equal numbers do mean equal bytes."""
+    import pandas as pd
+
+    n = len(a)
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(_POWERS[0]) <= n:
+        inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
+        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x)])) for x in (STEP, inverse)]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], out=sums[1:])
+    keys = (sums[starts + lengths] - sums[starts]) * _POWERS[1][starts] + lengths.astype(np.uint64)
+    codes, _ = pd.factorize(keys)
+    first = np.full(codes.max() + 1, -1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    own, other = starts, starts[first[codes]]
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    if not np.array_equal(lengths, lengths[first[codes]]) or not np.array_equal(a[np.repeat(own, lengths) + at], a[np.repeat(other, lengths) + at]):
+        return np.arange(len(starts)), np.arange(len(starts))  # a collision: nothing is grouped
+    return codes, first
