@@ -11,10 +11,11 @@ from .langid import op8_nearest_centroid_language
 from .media import op9_media_columns
 from .neighbours import op6_multi_index_hashing
 from .packing import op7_best_fit_packing
+from .ppm import op3_partial_matching
 from .secret_scan import op2_guess_cost_secrets
 from .sharding import op1_kd_sharding
 from .toxicity import op4_toxic_segments
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_sharding, op2_guess_cost_secrets, op4_toxic_segments, op6_multi_index_hashing, op7_best_fit_packing, op8_nearest_centroid_language, op9_media_columns, op10_bpe_tree)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_sharding, op2_guess_cost_secrets, op3_partial_matching, op4_toxic_segments, op6_multi_index_hashing, op7_best_fit_packing, op8_nearest_centroid_language, op9_media_columns, op10_bpe_tree)}
 
 ORACLES: dict[str, str] = {}
