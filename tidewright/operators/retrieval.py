@@ -42,7 +42,7 @@ def embed(df: DataFrame, text: Column, encoder: Callable[[list[str]], np.ndarray
         for s in batches:
             yield pd.Series(list(encoder(s.fillna("").tolist())))
 
-    vector = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER)
+    vector = F.pandas_udf(run, "array<float>")
     return df.withColumn("own", text).sortWithinPartitions(F.length("own")).withColumn("embedding", vector("own")).drop("own")
 
 
