@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -40,7 +41,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that one slice holds about ``max_bytes``, or a single larger row."""
+    """Batches cut so that one slice holds about ``max_bytes``, or a single larger row. Workers serve
+    many tasks; after the last slice the memory of this one goes back to the system."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -48,6 +50,15 @@ def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000) -> Ite
         step = max(1, min(n, int(n * max_bytes / max(1, batch.nbytes))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    release()
+
+
+def release() -> None:
+    """Give unused memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 STEP = np.uint64(0x9E3779B97F4A7C15)  # an odd number, so that its powers have inverses
@@ -77,3 +88,20 @@ def distinct_spans(a: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tu
     if not np.array_equal(lengths, lengths[first[codes]]) or not np.array_equal(a[np.repeat(own, lengths) + at], a[np.repeat(other, lengths) + at]):
         return np.arange(len(starts)), np.arange(len(starts))  # a collision: nothing is grouped
     return codes, first
+
+
+def span_hashes(a: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of the bytes ``a``."""
+    n = len(a)
+    if len(_POWERS[0]) <= n:
+        distinct_spans(a, np.zeros(1, np.int64), np.ones(1, np.int64))  # lengthens the powers
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * _POWERS[0][:n], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))

@@ -12,7 +12,8 @@ its learning texts; the lists are summed by key; the trie's subtrees below the l
 counts into log probabilities, each subtree in one task; and every block gets back the values for
 its own list, to score its texts. Only order 1 and below, at most 257 x 257 counts, go to all tasks.
 
-Words are runs of bytes other than space and 9 to 13; each text ends with one more token.
+Words are runs of bytes other than space and 9 to 13; each text ends with one more token. Words are
+keyed by 63-bit hashes, below 0; grams are keyed by themselves.
 
 Defined results: a null text is scored as the empty one, whose only token and symbol is the end;
 without learning texts all symbols are equally likely; repeated rows stay repeated and count each; an
@@ -29,27 +30,28 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_spans, fold, materialise, table
+from .common import fold, materialise, release, span_hashes, table
 
 ORDER = 5
-BLOCK_BYTES = 24_000_000
-CHUNK_BYTES = 4_000_000  # of a block's texts, in arrays at a time
+BLOCK_BYTES = 32_000_000
+CHUNK_BYTES = 2_000_000  # of a block's texts, in arrays at a time
 SYMBOLS = 257  # the bytes, and the end, which also stands before the first byte
 EDGE = 256
 BITS = 9
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
-END_KEY = b" "  # no word and no gram
+SIGN = np.uint64(1 << 63)
+END_KEY = -(1 << 63)  # of the token that ends a text
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str | None]]]:
+def chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, list[str | None]]]:
     """(number of the first, texts) of about CHUNK_BYTES, or a single longer one."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK_BYTES or i + 1 == len(texts):
-            yield at, texts[at : i + 1]
-            at, size = i + 1, 0
+    size = pa.compute.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
+    at = 0
+    while at < len(size):
+        n = max(1, int(np.searchsorted(np.cumsum(size[at : at + 100_000]), CHUNK_BYTES, "right")))
+        yield at, texts.slice(at, n).to_pylist()
+        at += n
 
 
 class Chunk:
@@ -57,22 +59,20 @@ class Chunk:
 
     def __init__(self, texts: list[str | None]):
         data = [(t or "").encode().translate(LOWER) for t in texts]
-        self.buffer = b"".join(data)
         size = np.fromiter(map(len, data), np.int64, len(data))
-        a = np.frombuffer(self.buffer, np.uint8)
+        a = np.frombuffer(b"".join(data), np.uint8)
         text = np.repeat(np.arange(len(data)), size)  # of each byte
 
         word = ~BLANK[a]
         fresh = np.ones(len(a), bool)
         fresh[1:] = text[1:] != text[:-1]
-        begin = word.copy()
+        begin, stop = word.copy(), word.copy()
         begin[1:] &= ~word[:-1] | fresh[1:]
-        stop = word.copy()
         stop[:-1] &= ~word[1:] | fresh[1:]
-        self.starts = np.flatnonzero(begin)
-        self.lengths = np.flatnonzero(stop) + 1 - self.starts
-        self.word_text = text[self.starts]
-        self.words, self.first = distinct_spans(a, self.starts, self.lengths)
+        starts = np.flatnonzero(begin)
+        hashes = span_hashes(a, starts, np.flatnonzero(stop) + 1) >> np.uint64(1)
+        self.words = (np.maximum(hashes, np.uint64(1)) | SIGN).astype(np.int64)
+        self.word_text = text[starts]
 
         # ORDER edges before each text and one after it
         gap = ORDER + 1
@@ -85,28 +85,33 @@ class Chunk:
         self.grams = code[at].astype(np.int64)
         self.gram_text = np.repeat(np.arange(len(data)), size + 1)
 
-    def distinct_words(self) -> list[bytes]:
-        return [self.buffer[s : s + n] for s, n in zip(self.starts[self.first].tolist(), self.lengths[self.first].tolist())]
 
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[at], np.add.reduceat(n, at)
 
-def listed(block: int, texts: list[str | None], learn: np.ndarray) -> pa.Table:
-    """block, word, gram, n: the block's distinct keys with their counts in learning texts."""
-    counted: dict[bytes, int] = {}
-    parts = []
+
+def listed(block: int, texts: pa.ChunkedArray, learn: np.ndarray) -> pa.Table:
+    """block, key, n: the block's distinct words and grams with their counts in learning texts."""
+    keys, counts, held = [np.array([END_KEY])], [np.array([int(learn.sum())])], 0
     for first, some in chunks(texts):
         b, own = Chunk(some), learn[first : first + len(some)]
-        n = np.bincount(b.words, weights=own[b.word_text], minlength=len(b.first)).astype(np.int64).tolist()
-        for w, k in zip(b.distinct_words(), n):
-            counted[w] = counted.get(w, 0) + k
-        keys, at = np.unique(b.grams, return_inverse=True)
-        parts.append((keys, np.bincount(at, weights=own[b.gram_text], minlength=len(keys))))
-    words, n_words = [*counted], np.fromiter(counted.values(), np.int64, len(counted))
-    grams, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    n_grams = np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(grams)).astype(np.int64)
-    word = pa.array([*words, END_KEY, *[None] * len(grams)], pa.binary())
-    gram = pa.array(np.concatenate([np.zeros(len(words) + 1, np.int64), grams]), mask=np.arange(len(words) + 1 + len(grams)) <= len(words))
-    n = np.concatenate([n_words, [int(learn.sum())], n_grams])
-    return pa.table({"block": pa.array(np.full(len(n), block, np.int32)), "word": word, "gram": gram, "n": pa.array(n)})
+        for k, of in ((b.words, b.word_text), (b.grams, b.gram_text)):
+            learned = own[of]
+            for part, weight in ((k[learned], 1), (k[~learned], 0)):
+                distinct, n = np.unique(part, return_counts=True)
+                keys.append(distinct)
+                counts.append(n * weight)
+                held += len(distinct)
+        if held > 1_500_000:
+            key, n = summed(keys, counts)
+            keys, counts, held = [key], [n], 0
+    key, n = summed(keys, counts)
+    return pa.table({"block": pa.array(np.full(len(key), block, np.int32)), "key": pa.array(key), "n": pa.array(n)})
 
 
 def levels(grams: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -171,56 +176,53 @@ def score(docs: DataFrame, learn=None) -> DataFrame:
     docs = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(12, -(-n_bytes // BLOCK_BYTES))
+    blocks = max(6, -(-n_bytes // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
 
     def lists(t: pa.Table) -> pa.Table:
-        return listed(t.column("block")[0].as_py(), t.column("text").to_pylist(), np.array(t.column("learn").to_pylist(), float))
+        out = listed(t.column("block")[0].as_py(), t.column("text"), t.column("learn").to_numpy(zero_copy_only=False).astype(bool))
+        release()
+        return out
 
-    wanted = materialise(dealt.select("block", "text", "learn").groupBy("block").applyInArrow(lists, "block int, word binary, gram long, n long"), "ppm-lists")
-    words = materialise(wanted.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
-    total, vocabulary = words.agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    wanted = materialise(dealt.select("block", "text", "learn").groupBy("block").applyInArrow(lists, "block int, key long, n long"), "ppm-lists")
+    totals = materialise(wanted.groupBy("key").agg(F.sum("n").alias("n")), "ppm-totals")
+    total, vocabulary = totals.where("key < 0").agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
     total = total or 0
     floor = total + 0.5 * (vocabulary + 1)
 
-    grams = materialise(wanted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
-    pair = F.col("gram").bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    pair = F.col("key").bitwiseAND(F.lit((1 << 2 * BITS) - 1))
     pairs = np.zeros((SYMBOLS, SYMBOLS))
-    for r in grams.where("n > 0").groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).collect():  # SYMBOLS squared
+    for r in totals.where("key >= 0 and n > 0").groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).collect():  # SYMBOLS squared
         pairs[r["pair"] >> BITS, r["pair"] & ((1 << BITS) - 1)] = r["n"]
     shared = docs.sparkSession.sparkContext.broadcast(pairs)
 
     def subtree(t: pa.Table) -> pa.Table:
-        g, n = t.column("gram").to_numpy(), t.column("n").to_numpy().astype(float)
-        return pa.table({"gram": pa.array(g), "value": pa.array(code_lengths(g, n, shared.value))})
-
-    last_two = F.shiftright("gram", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
-    lengths = grams.withColumn("suffix", last_two).groupBy("suffix").applyInArrow(subtree, "gram long, value double")
+        g, n = t.column("key").to_numpy(), t.column("n").to_numpy().astype(float)
+        return pa.table({"key": pa.array(g), "n": pa.nulls(len(g), pa.int64()), "value": pa.array(code_lengths(g, n, shared.value).astype(np.float32))})
 
-    word_values = wanted.where("word is not null").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), F.log10((F.col("n") + 0.5) / F.lit(float(floor))).alias("value"), (F.col("n") > 0).alias("known"))
-    gram_values = wanted.where("gram is not null").select("block", "gram").join(lengths, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value", F.lit(True).alias("known"))
+    last_two = F.shiftright("key", BITS).bitwiseAND(F.lit((1 << 2 * BITS) - 1))
+    lengths = totals.where("key >= 0").withColumn("suffix", last_two).groupBy("suffix").applyInArrow(subtree, "key long, n long, value float")
+    values = totals.where("key < 0").select("key", "n", F.lit(None).cast("float").alias("value")).unionByName(lengths)
+    answers = wanted.select("block", "key").join(values, "key").select("block", "key", "n", "value")
 
     def scored(texts: pa.Table, values: pa.Table) -> pa.Table:
         ids, n = texts.column("doc_id"), texts.num_rows
         if not n:
             return pa.table({"doc_id": ids, **{c: pa.array([], k) for c, k in (("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()))}})
-        is_word = values.column("word").is_valid()
-        of_words, of_grams = values.filter(is_word), values.filter(pa.compute.invert(is_word))
-        place = {w: i for i, w in enumerate(of_words.column("word").to_pylist())}
-        value, known = of_words.column("value").to_numpy(), of_words.column("known").to_numpy(zero_copy_only=False).astype(float)
-        keys, bits = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
-        order = np.argsort(keys)
-        keys, bits, end = keys[order], bits[order], place[END_KEY]
+        order = np.argsort(values.column("key").to_numpy())
+        keys = values.column("key").to_numpy()[order]
+        count = values.column("n").fill_null(0).to_numpy()[order]
+        bits = values.column("value").fill_null(0).to_numpy()[order].astype(float)
+        own = np.where(keys < 0, np.log10((count + 0.5) / floor), bits)
         rows = []
-        for _, some in chunks(texts.column("text").to_pylist()):
-            b = Chunk(some)
-            mine = np.fromiter((place[w] for w in b.distinct_words()), np.int64, len(b.first))[b.words]
-            sums = [np.bincount(b.word_text, minlength=len(some)) + 1.0] + [np.bincount(b.word_text, weights=x[mine], minlength=len(some)) + x[end] for x in (known, value)]
-            rows.append([*sums, np.bincount(b.gram_text, weights=bits[np.searchsorted(keys, b.grams)], minlength=len(some))])
+        for _, some in chunks(texts.column("text")):
+            b, m = Chunk(some), len(some)
+            w = np.searchsorted(keys, b.words)
+            rows.append([np.bincount(b.word_text, minlength=m) + 1, np.bincount(b.word_text, weights=count[w] > 0, minlength=m) + (count[0] > 0), np.bincount(b.word_text, weights=own[w], minlength=m) + own[0], np.bincount(b.gram_text, weights=own[np.searchsorted(keys, b.grams)], minlength=m)])
         n_tokens, n_known, base, own = (np.concatenate(c) for c in zip(*rows))
+        release()
         return pa.table({"doc_id": ids, "n_tokens": pa.array(n_tokens.astype(np.int64)), "n_known": pa.array(n_known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
 
-    answers = word_values.unionByName(gram_values)
     out = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(int(total)).cast("long"))
 
