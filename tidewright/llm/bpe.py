@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_spans, slices, table
+from .common import distinct_spans, release, slices, table
 
 LEAF_BYTES = 8_192
 GIANT_BYTES = 4_096
 SPLIT_CHARS = 1_000_000
 GROUP_BYTES = 4_000_000
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
+KEPT_ENTRIES = 150_000  # from one task to the next in the same worker
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -214,6 +215,12 @@ class Encoder:
                 out[i] = part.ids.tobytes()
         return out
 
+    def trim(self) -> None:
+        """Keep the oldest, most frequent chunks only."""
+        if len(self.cache) > KEPT_ENTRIES:
+            self.cache = dict(islice(self.cache.items(), KEPT_ENTRIES))
+        release()
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
@@ -279,6 +286,7 @@ def digests(docs: DataFrame, path: str, split_chars: int = SPLIT_CHARS) -> DataF
         for part in slices(batches):
             n, a, b = zip(*(row(enc, ids) for ids in enc.encode_all(part.column("text").to_pylist())))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc.trim()
 
     short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= split_chars).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fold, materialise, slices, table
 
 DIMS = 8192
-SAMPLE = 2000
+SAMPLE = 1000
 CENTROIDS = 4
 ROUNDS = 12
 SHARE = 0.05  # smaller clusters are outliers or mislabelled rows
@@ -156,8 +156,11 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> Model:
 
     if langs:
         limits = chosen.select("text").mapInArrow(cosines, "owner int, size int, cosine double").groupBy("owner", "size").agg(F.percentile("cosine", QUANTILE).alias("low"))
+        model.limits[:] = np.nan
         for r in limits.collect():
             model.limits[r["owner"], r["size"]] = MARGIN * r["low"]
+        for n in range(len(LENGTHS) + 1):  # a class without rows takes the limit of the shorter one
+            model.limits[:, n] = np.where(np.isnan(model.limits[:, n]), model.limits[:, n - 1] if n else 0.0, model.limits[:, n])
         for n in range(len(LENGTHS) - 1, -1, -1):  # short texts are no nearer than long ones
             model.limits[:, n] = np.minimum(model.limits[:, n], model.limits[:, n + 1])
         model.limits[:, : LENGTHS.index(EVIDENCE) + 1] = 0

@@ -48,6 +48,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     crc.append(zlib.crc32(ids[4 * at : 4 * cut]))
                     at, cut = cut, cut + capacity
             yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names)
+        enc.trim()
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 

@@ -41,7 +41,7 @@ service account summer winter spring autumn monday friday london paris test123 p
 # Rows of a keyboard, digits and letters as they are walked along.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
 COLUMNS = ("1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm")
-STEPS = {p for row in (*ROWS, *COLUMNS) for a, b in pairwise(row) for p in ((a, b), (b, a))}
+STEPS = {p: way for row in (*ROWS, *COLUMNS) for a, b in pairwise(row) for p, way in (((a, b), 1), ((b, a), -1))}
 
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
 LONGEST = 24  # of words, dates and one piece of a walk or repeat
@@ -81,8 +81,8 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
                 reach(i + times * unit, min(unit * 1.0, guess_cost(value[i : i + unit], ranks) if unit > 2 else unit) + math.log10(times))
         end, turns, way = i + 1, 0, None
         while end < min(n, i + LONGEST) and (low[end - 1], low[end]) in STEPS:
-            step = ord(low[end]) - ord(low[end - 1])
-            turns, way = turns + (way is not None and (step > 0) != (way > 0)), step
+            step = STEPS[low[end - 1], low[end]]
+            turns, way = turns + (way is not None and step != way), step
             end += 1
             if end - i >= 3:
                 reach(end, math.log10(WALK_STARTS * (end - i)) + turns * math.log10(TURNS))
@@ -124,7 +124,7 @@ def word_ranks(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
         for part in slices(batches):
             for text in part.column(0).to_pylist():
                 seen.update(text.lower().split())
-            if len(seen) > 500_000:
+            if len(seen) > 250_000:
                 yield rows()
                 seen.clear()
         yield rows()
