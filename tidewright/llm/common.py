@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def smallest(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows a group with the smallest hash of the key. A histogram of the hash's upper bits
+    says where to cut, so the window that ranks them gets little more than ``n`` rows a group."""
+    bits = F.shiftrightunsigned(F.xxhash64(key), 1)
+    part = F.shiftright(bits, 51).cast("int")  # 4096 parts
+    seen: dict = {}
+    for r in rows.groupBy(group, part.alias("part")).count().collect():  # parts a group
+        seen.setdefault(r[0], []).append((r["part"], r["count"]))
+    cuts = []
+    for g, parts in seen.items():
+        left = n
+        for k, count in sorted(parts):
+            left -= count
+            if left <= 0:
+                break
+        cuts.append((g, k))
+    if not cuts:
+        return rows.limit(0)
+    cut = rows.sparkSession.createDataFrame(cuts, f"{group} {rows.schema[group].dataType.simpleString()}, cut int")
+    by = Window.partitionBy(group).orderBy(bits, key)
+    near = rows.join(F.broadcast(cut), group).where(part <= F.col("cut")).drop("cut")
+    return near.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= n).drop("nth")
+
+
 def slices(batches: Iterable[pa.RecordBatch], max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that one slice holds about ``max_bytes``, or a single larger row. Workers serve
     many tasks; after the last slice the memory of this one goes back to the system."""

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, slices, table
+from .common import fold, materialise, slices, smallest, table
 
 DIMS = 8192
 SAMPLE = 1000
@@ -113,8 +113,7 @@ class Model:
 def sample(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
     """lang, text: at most ``rows`` of the learning folds a language."""
     learn = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = learn.select("doc_id", "lang").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= rows).select("doc_id", "lang")
+    chosen = smallest(learn.select("lang", "doc_id"), "lang", "doc_id", rows)
     # ``rows`` ids a language: small enough to be sent to every task that reads texts
     texts = docs.select("doc_id", F.col("lang").alias("own"), "text").join(F.broadcast(chosen.distinct()), "doc_id")
     return texts.where(F.col("own") == F.col("lang")).select("lang", "text")

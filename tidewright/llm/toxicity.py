@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, materialise, slices, table
+from .common import fold, materialise, slices, smallest, table
 
 SAMPLE = 15_000
 PRIOR = 0.1  # pseudo-counts in all, as a share of the counts
@@ -107,8 +107,7 @@ class Model:
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """text, toxic of at most ``rows`` labelled rows a class from the learning folds."""
     known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    by = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= rows).select("doc_id", "toxic")
+    chosen = smallest(known, "toxic", "doc_id", rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic")
 
 
