@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import fold, materialise, release, span_hashes, table
 
 ORDER = 5
-BLOCK_BYTES = 32_000_000
-CHUNK_BYTES = 2_000_000  # of a block's texts, in arrays at a time
+BLOCK_BYTES = 28_000_000
+CHUNK_BYTES = 500_000  # of a block's texts, in arrays at a time
 SYMBOLS = 257  # the bytes, and the end, which also stands before the first byte
 EDGE = 256
 BITS = 9
