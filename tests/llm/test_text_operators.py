@@ -230,6 +230,20 @@ def test_near_duplicates_against_all_pairs(spark):
     assert neardup.groups(df.union(df)).count() == 2 * len(texts)
 
 
+def test_near_duplicates_in_crowded_buckets(spark):
+    rng = random.Random(12)
+    passage = words(rng, 140, 100_000)
+    texts = []
+    for _ in range(200):
+        own = [words(rng, 10, 10_000_000) for _ in range(3)]
+        texts += [f"{passage} {own[0]} {own[1]}", f"{passage} {own[0]} {own[2]}"]
+    rng.shuffle(texts)
+    df = frame(spark, texts)
+    want = plain_groups(texts, neardup.frequency_sketch(df))
+    assert len(set(want.values())) == 200
+    assert {r["doc_id"]: r["group_id"] for r in neardup.groups(df.repartition(5)).collect()} == want
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(8)
     a = rng.integers(1, 1 << 62, 400).astype(np.uint64)

@@ -10,8 +10,11 @@ Improved consistent weighted sampling draws ``BANDS`` x ``ROWS`` samples a text,
 buckets. Equal texts are one class and are sampled and compared once. In a bucket each class is
 compared with the bucket's first, and with the first of those that share the next band too; those that
 may still be like another one are dealt again without the first, ``ROUNDS`` times in all, so a bucket
-costs its size, not its square. Compared pairs are links if their exact weighted Jaccard similarity is
-``SIMILAR`` or more; groups are the connected components of the links.
+costs its size, not its square. Classes left after that, as in buckets crowded by a passage that unlike
+texts share, are joined exactly: two that are alike share one of their rarest shingles, so all of their
+pairs but those that a bound on the common weight rules out, or that are in one group already, are
+compared. Compared pairs are links if their exact weighted Jaccard similarity is ``SIMILAR`` or more;
+groups are the connected components of the links.
 
 Defined results: a null text is a group of its own; empty texts, or other texts without a word, are
 grouped only with equal ones; rows with one doc_id are one document; a null doc_id stays ungrouped
@@ -35,6 +38,7 @@ BANDS, ROWS = 16, 3
 ROUNDS = 5
 COUNTERS = 1 << 18
 SPREAD = 0.25
+SLACK = 1e-6  # of rounding in sums of weights
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +104,25 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
     return float(common / max(1e-12, x[1].sum() + y[1].sum() - common))
 
 
+def prefixes(texts: list[str], w: Weights, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle, the text's weight, weight of this and all later shingles) of each text's prefix, in
+    one order of all shingles, rare ones first. What two texts have in common is no more than the
+    weight from the first shared shingle on, and at least ``similar`` of either text if they are alike:
+    they share a shingle of both prefixes."""
+    text, shingle, often = shingles(texts)
+    if not len(text):
+        return text, shingle, np.empty(0), np.empty(0)
+    order = np.lexsort((shingle, -w.of(shingle, np.ones(1, np.int64)), text))
+    text, shingle, weight = text[order], shingle[order], w.of(shingle, often)[order].astype(float)
+    starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    size = np.diff(np.append(starts, len(text)))
+    total = np.repeat(np.add.reduceat(weight, starts), size)
+    upto = np.cumsum(weight) - weight
+    rest = total - (upto - np.repeat(upto[starts], size))
+    early = rest >= similar * total * (1 - SLACK)
+    return text[early], shingle[early], total[early], rest[early]
+
+
 def random_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Draws of the sampling scheme, looked up by 16 bits of a hash each: r and ln c of Gamma(2, 1),
     beta uniform."""
@@ -182,6 +205,34 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
+def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, compare, similar: float) -> DataFrame:
+    """a, b, root_a, root_b: all links between the classes ``left`` that are of different groups so far.
+    Groups meet by the shingles of prefixes, then those of their members that may be alike."""
+    kind = texts.schema["class_id"].dataType.simpleString()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 2_000_000):
+            text, shingle, total, rest = prefixes([t or "" for t in part.column("text").to_pylist()], weights.value, similar)
+            yield pa.RecordBatch.from_arrays([part.column("class_id").take(pa.array(text)), pa.array(shingle.astype(np.int64)), pa.array(total), pa.array(rest)], ["class_id", "shingle", "total", "rest"])
+
+    mine = texts.join(left, "class_id", "left_semi").mapInArrow(emit, f"class_id {kind}, shingle long, total double, rest double")
+    every = materialise(mine.join(named.select("class_id", "root"), "class_id"), "prefixes")
+    several = every.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("shingle")
+    places = materialise(every.join(several, "shingle"), "prefixes")
+
+    # x and y have common weight of similar / (1 + similar) of both weights' sum, or are unlike
+    share = similar / (1 + similar) * (1 - SLACK)
+    most = places.groupBy("shingle", "root").agg(F.max("rest").alias("rest"), F.min("total").alias("total"))
+    side = lambda rows, k: rows.select("shingle", *(F.col(c).alias(f"{c}_{k}") for c in rows.columns if c != "shingle"))
+    may = (F.least("rest_a", "rest_b") >= share * (F.col("total_a") + F.col("total_b"))) & (F.col("root_a") < F.col("root_b"))
+    meet = side(most, "a").join(side(most, "b"), "shingle").where(may).select("shingle", "root_a", "root_b")
+    pairs = meet.join(side(places, "a"), ["shingle", "root_a"]).join(side(places, "b"), ["shingle", "root_b"]).where(may)
+    pairs = materialise(pairs.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "root_a", "root_b").distinct(), "pairs")
+    met = pairs.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a")
+    found = met.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)
+    return materialise(found.join(pairs, ["a", "b"]).select("a", "b", "root_a", "root_b"), "links")
+
+
 def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, group_id, n_links: a row for each row of ``docs``. class_id is the smallest id
     with an equal text, group_id the smallest id of the near-duplicate group, n_links the number of
@@ -240,22 +291,28 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         met = pairs.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a")
         compared = materialise(met.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double"), "compared")
         seen = compared if seen is None else seen.unionByName(compared)
-        if k + 1 < ROUNDS:
-            # Left: those unlike their bucket's first, and of those like it the ones that may be like one
-            # of them. 1 - similarity is a metric, so x can't be unless it is as far from the first as
-            # the nearest unlike one, less 1 - similar.
-            known = led.join(seen, ["a", "b"])
-            unlike = known.where(F.col("similarity") < similar).groupBy("band", "value").agg(F.max("similarity").alias("nearest"))
-            left = known.join(unlike, ["band", "value"]).where((F.col("similarity") < similar) | (F.col("similarity") <= F.col("nearest") + (1 - similar)))
-            waiting = materialise(left.select(F.col("b").alias("class_id"), "band", "value"), "buckets")
-            if waiting.isEmpty():
-                break
+        # Left: those unlike their bucket's first, and of those like it the ones that may be like one
+        # of them. 1 - similarity is a metric, so x can't be unless it is as far from the first as
+        # the nearest unlike one, less 1 - similar.
+        known = led.join(seen, ["a", "b"])
+        unlike = known.where(F.col("similarity") < similar).groupBy("band", "value").agg(F.max("similarity").alias("nearest"))
+        left = known.join(unlike, ["band", "value"]).where((F.col("similarity") < similar) | (F.col("similarity") <= F.col("nearest") + (1 - similar)))
+        left = left.select(F.col("b").alias("class_id"), "band", "value")
+        # one alone in its bucket has met all others
+        waiting = materialise(left.join(left.groupBy("band", "value").count().where("count > 1").drop("count"), ["band", "value"]), "buckets")
+        if waiting.isEmpty():
+            break
     links = seen.where(F.col("similarity") >= similar)
     roots = materialise(components(links), "roots")
+    named = classes.select("key", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
+    if not waiting.isEmpty():
+        late = rest_links(waiting.select("class_id").distinct(), named, texts, weights, compare, similar)
+        links = links.select("a", "b").unionByName(late.select("a", "b"))
+        joined = materialise(components(late.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "roots")
+        named = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("low")), "root", "left").select("key", "class_id", F.coalesce("low", "root").alias("root"))
 
     ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    named = classes.select("key", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").join(ends, "class_id", "left")
-    named = named.select("key", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = named.join(ends, "class_id", "left").select("key", "class_id", F.col("root").alias("group_id"), "n_links")
     rows = signed.select("doc_id", "key").unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("string").alias("key")))
     return rows.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
