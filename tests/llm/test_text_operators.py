@@ -185,6 +185,19 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score(df, empty).collect()} != {None}
 
 
+def test_toxicity_curve_has_the_balance_of_all_labels(spark):
+    rng = random.Random(13)
+    bad = [i % 10 == 0 for i in range(4000)]
+    texts = [f"{words(rng, 20, 300)} {'vile scum' if (b and rng.random() < 0.8) or rng.random() < 0.04 else ''}" for b in bad]
+    df = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bad)], "doc_id long, toxic int")
+    for rows in (15_000, 300):
+        model = toxicity.fit(df, labels, rows)
+        assert abs(np.mean([model.score(t)[0] for t in texts]) - 0.1) < 0.03
+    none = toxicity.fit(df.where("length(text) < 0"), labels, 300)
+    assert none.score("w1")[0] < 0.5
+
+
 def plain_groups(texts, w):
     sh = {}
     for i, t in enumerate(texts):

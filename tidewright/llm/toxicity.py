@@ -14,7 +14,8 @@ up to ``CHANCE`` are the significant passages. A document's evidence is lambda t
 sum less log(K n) for each, and a logistic curve fitted on the learning rows makes it a probability.
 
 The model is fitted on at most ``SAMPLE`` labelled rows a class, those with the smallest hash of the
-id, from the learning folds. Texts are scored whole.
+id, from the learning folds. Rows of the curve weigh as many as their class has for each one of the
+sample, so that a table's size doesn't move the balance. Texts are scored whole.
 
 Defined results: a null or empty text has no segment and gets the score of a text without evidence;
 several labels of one id count as the largest; without labels of both classes every score is the
@@ -104,10 +105,14 @@ class Model:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, a + b * math.log1p(max(x, 0.0)))))), n
 
 
+def learning(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the learning folds."""
+    return labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """text, toxic of at most ``rows`` labelled rows a class from the learning folds."""
-    known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = smallest(known, "toxic", "doc_id", rows)
+    chosen = smallest(learning(labels), "toxic", "doc_id", rows)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic")
 
 
@@ -125,14 +130,16 @@ def rate_of(scores: np.ndarray, shares: np.ndarray) -> float:
     return high
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Intercept and slope by Newton's method, with smoothed targets and a weak penalty."""
+def logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope by Newton's method, with smoothed targets and a weak penalty; a row counts
+    ``each`` times, and the penalty as for rows that count once."""
     t = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+    each = each / each.mean()
     w, design = np.zeros(2), np.stack([np.ones_like(x), x], 1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - t) + 1e-3 * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        gradient = design.T @ (each * (p - t)) + 1e-3 * w
+        hessian = (design * (each * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 5.0 / max(1e-9, float(np.abs(step).max())))
     return float(w[0]), max(float(w[1]), 0.0)
@@ -157,7 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     counts = materialise(counts, "tokens")
     totals = counts.where("token = ''").first()
     share = {bool(r["toxic"]): r["count"] for r in chosen.groupBy("toxic").count().collect()}
-    flat = share.get(True, 0) / max(1, sum(share.values()))
+    # rows a class: of the learning folds, and of them in the sample
+    full = {r["toxic"]: r["count"] for r in learning(labels).groupBy(F.col("toxic").cast("boolean").alias("toxic")).count().collect()}
+    each = {k: full.get(k, n) / n for k, n in share.items()}
+    flat = each.get(True, 0) * share.get(True, 0) / max(1, sum(each[k] * n for k, n in share.items()))
     if not totals or not totals["clean"] or not totals["toxic"]:
         return Model({}, 0.0, (math.log((flat + 1e-9) / (1 - flat + 1e-9)), 0.0))
     n0, n1 = totals["clean"], totals["toxic"]
@@ -179,7 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t)[0] for t in part.column("text").to_pylist()], pa.float64()), part.column("toxic").cast(pa.int32())], ["x", "toxic"])
 
     seen = chosen.mapInArrow(evidence, "x double, toxic int").toPandas()  # two numbers a row of the sample
-    model.curve = logistic(np.log1p(np.maximum(seen["x"].to_numpy(), 0)), (seen["toxic"].to_numpy() > 0).astype(float))
+    toxic = seen["toxic"].to_numpy() > 0
+    model.curve = logistic(np.log1p(np.maximum(seen["x"].to_numpy(), 0)), toxic.astype(float), np.where(toxic, each.get(True, 1.0), each.get(False, 1.0)))
     return model
 
 
