@@ -31,6 +31,24 @@ def test_recall_ties_and_odd_vectors(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_repeated_rows_are_one_neighbour(spark):
+    x = np.random.default_rng(3).normal(size=(300, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    once, often = (neighbours.search(d.coalesce(1), F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect() for d in (df, df.union(df).union(df)))
+    got = {}
+    for r in often:
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert {q: len(set(v)) for q, v in got.items()} == {0: 10, 100: 10, 200: 10}
+    # the radius learned on the sample differs, so the index is compared on one radius
+    codes = neighbours.Coder(x.astype(float)).codes(x.astype(float))
+    plain = neighbours.Index(np.arange(300), x.astype(float), codes)
+    thrice = neighbours.Index(np.tile(np.arange(300), 3), np.tile(x.astype(float), (3, 1)), np.tile(codes, 3))
+    for q in range(0, 300, 50):
+        a, b = (i.nearest(q, x[q].astype(float), codes[q], neighbours.BITS, 10) for i in (plain, thrice))
+        assert a[0].tolist() == b[0].tolist() and a[1] == pytest.approx(b[1])
+    assert len(once) == 30
+
+
 def test_radius_finds_every_code():
     rng = np.random.default_rng(2)
     codes = rng.integers(0, 1 << 63, 500).astype(np.uint64)

@@ -111,8 +111,15 @@ class Index:
         if len(rows) > k:
             d = self.norm[rows] - 2 * (self.x[rows] @ q)
             slack = 1e-9 * (1 + float(q @ q) + float(self.norm[rows].max()))
-            rows = rows[d <= np.partition(d, k - 1)[k - 1] + slack]
+            # the k-th nearest of distinct ids: rows of one id, which needn't be equal, count once
+            by = np.lexsort((d, self.ids[rows]))
+            named = self.ids[rows][by]
+            nearest = d[by][np.append(True, named[1:] != named[:-1])]
+            if len(nearest) > k:
+                rows = rows[d <= np.partition(nearest, k - 1)[k - 1] + slack]
         d = np.sqrt(((self.x[rows] - q) ** 2).sum(1))
+        near = np.lexsort((d, self.ids[rows]))
+        rows, d = rows[near], d[near]
         ids, first = np.unique(self.ids[rows], return_index=True)
         order = np.lexsort((ids, d[first]))[:k]
         return ids[order], d[first][order]
