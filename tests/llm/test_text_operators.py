@@ -95,6 +95,14 @@ def test_secret_rows_and_redaction(spark):
     assert secret_scan.scan(df.limit(0), ranks).count() == 0
 
 
+@pytest.mark.parametrize("before", ["credentials: password: ", "secret token: ", "secret password:", "pwd=", "passphrase: ", "access_key="])
+@pytest.mark.parametrize("value", ["P@ssw0rd!x9Q$Lm7", "K$9zQ!mW2#vTr8", "qzxvkjwhtbnmplkj"])
+def test_secret_values_after_keywords(before, value):
+    ranks = {w: i for i, w in enumerate(secret_scan.COMMON, 1)}
+    assert (len(before), 3, len(before) + len(value)) in secret_scan.find(before + value + " end", ranks)
+    assert not secret_scan.find("the secret qzxvkjwhtbnmplkj", ranks)
+
+
 def plain_ppm(train, text, order):
     low = lambda t: [256] * order + list((t or "").encode().translate(ppm.LOWER)) + [256]
     counts = defaultdict(Counter)

@@ -31,7 +31,9 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as of [0-9a-f]+, of 24 characters or more
-CONTEXT = re.compile(r"""(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|bearer|credentials?|(?:api|private|access|auth|client)[_-]?(?:key|token|secret))["']?(?:\x20*(?:[:=]|=>)\x20*|\x20+)(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;]{6,}))""", re.I | re.A)
+KEYWORD = r"""(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|bearer|credentials?|(?:api|private|access|auth|client)[_-]?(?:key|token|secret))["']?(?:\x20*(?:=>|:|=(?!>))\x20*|\x20+)"""
+# a value that is a keyword with a value of its own is left to that one
+CONTEXT = re.compile(KEYWORD + rf"""(?!{KEYWORD}(?:"[^"\n]{{6}}|'[^'\n]{{6}}|[^\s"',;]{{6}}))""" + r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;]{6,}))""", re.I | re.A)
 
 # Passwords and name parts that guessing starts with, most frequent first.
 COMMON = """password 123456 qwerty admin welcome letmein monkey dragon master login abc123 iloveyou
@@ -102,7 +104,8 @@ def find(text: str | None, ranks: dict[str, int], secure: float = SECURE) -> lis
         if m.lastindex == 3:
             b -= len(value) - len(value := value.rstrip(".:!?)]}>"))
         # one kind of letter only is prose, unless it is quoted or assigned
-        plain = m.lastindex == 3 and value.isalpha() and (value.islower() or value.istitle())
+        assigned = any(c in ":=" for c in text[m.start() : a])
+        plain = m.lastindex == 3 and not assigned and value.isalpha() and (value.islower() or value.istitle())
         if b - a >= 6 and not plain and guess_cost(value, ranks, secure) >= secure:
             spans.append((a, 3, b))
     return sorted(set(spans))
