@@ -29,23 +29,47 @@ def odd_texts():
 def test_tree_is_the_librarys_encoding(monkeypatch):
     texts = odd_texts()
     want = reference(texts)
-    for leaf, giant in ((8, 12), (64, 16), (8192, 4096)):
+    for leaf, window in ((8, 1), (64, 4), (8192, 64)):
         monkeypatch.setattr(bpe, "LEAF_BYTES", leaf)
-        monkeypatch.setattr(bpe, "GIANT_BYTES", giant)
+        monkeypatch.setattr(bpe, "WINDOW_BYTES", window)
         enc = bpe.Encoder(PATH)
-        got = enc.encode_all(texts)
-        assert [np.frombuffer(x, np.uint32).tolist() for x in got] == want
-        assert [enc.decode(np.frombuffer(x, np.uint32)) for x in got] == [t or "" for t in texts]
+        got = [np.frombuffer(enc.encode(t), np.uint32) for t in texts]
+        assert [x.tolist() for x in got] == want
+        assert [enc.decode(x) for x in got] == [t or "" for t in texts]
 
 
-def test_full_cache(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
-    texts = odd_texts()
-    assert [np.frombuffer(x, np.uint32).tolist() for x in bpe.Encoder(PATH).encode_all(texts)] == reference(texts)
+def test_every_token_is_the_encoding_of_its_own_bytes():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(PATH).model
+    tokens = [t for t in Tokenizer.from_file(PATH).get_vocab(with_added_tokens=False) if t != "<|endoftext|>"]
+    assert len(tokens) == 50_256 and all(len(model.tokenize(t)) == 1 for t in tokens)
+
+
+def test_all_code_points_are_of_the_librarys_classes():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1{c}.{c} {c}a" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
+    enc = bpe.encoder(PATH)
+    assert [enc._leaf(t).tolist() for t in texts] == reference(texts)
+
+
+def test_other_ids_than_ranks(tmp_path):
+    import json
+
+    spec = json.load(open(PATH))
+    n = len(spec["model"]["vocab"])
+    spec["model"]["vocab"] = {t: n - 1 - i for t, i in spec["model"]["vocab"].items()}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    got = np.frombuffer(bpe.Encoder(str(tmp_path / "t.json")).encode("some words, 12"), np.uint32)
+    assert got.tolist() == [n - 1 - i for i in reference(["some words, 12"])[0]]
+    spec["pre_tokenizer"] = None
+    (tmp_path / "u.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Encoder(str(tmp_path / "u.json"))
 
 
 def test_segments_of_very_long_texts(spark):
-    texts = [t for t in odd_texts() if t is None or len(t) < 200][:40] + ["tree leaf " * 700, "tree leaf " * 700, "a <|endoftext|> b" + " y" * 2000, "q" * 5000]
+    texts = [t for t in odd_texts() if t is None or len(t) < 200][:40] + ["tree leaf " * 700, "tree leaf " * 700, "a <|endoftext|> b" + " y" * 2000, "<|endoftext|>" + "z" * 1490 + "<|endoftext|>" * 3 + " y" * 900 + "<|endoftext|>", "q" * 5000]
     df = spark.createDataFrame([(i, t, None, "x", "y") for i, t in enumerate(texts)], SCHEMA)
     got = {r["doc_id"]: r for r in bpe.digests(df, PATH, split_chars=1500).collect()}
     assert len(got) == len(texts)

@@ -1,245 +1,192 @@
 """Operator 10: byte-level BPE encoding and decoding by tree concatenation.
 
 A text longer than a leaf is halved until its parts are leaves; the leaves are encoded on their own
-and joined pairwise. A join re-encodes a window around the cut and doubles it until the window's
-first part equals the left half's part there and its last part the right half's, so that everything
-outside the window is known to stand. The parts compared are
+and joined pairwise. A join re-encodes a window around the cut and doubles it until its first token
+is the left half's there and its last one the right half's, so that all outside the window is known
+to stand. A window begins and ends
 
-* *chunks*, where a text has spaces: a space after a character that is no white space always begins
-  a pre-token, so chunks cut there are encoded independently of each other;
-* *tokens*, inside one huge unbroken pre-token: byte-pair encodings whose neighbouring tokens all
-  agree pairwise are the encoding of the whole.
+* at *breaks*, where a text has any: white space after a character that is none always begins a
+  pre-token, whatever stands around it;
+* at tokens, inside one unbroken pre-token: byte-pair encodings whose neighbouring tokens all agree
+  pairwise are the encoding of the whole.
 
 Texts above ``split_chars`` are dealt out as segments, encoded by different tasks and then joined.
+Special tokens' strings are cut out first; what stands between them goes through the tree.
+
+Leaves are encoded by ranks: of all neighbouring tokens whose concatenation is a token, the one of
+the lowest rank merges first. That is what the file's list of merges says as long as every token is
+the encoding of its own bytes, as it is in files made by training; tests check it.
 
 Defined results: a null or empty text has no ids (both digests are those of no bytes); equal texts
-give equal rows; repeated rows stay repeated; the special token's string in a text is that token,
-as in the library's default; further columns of the input are ignored.
+give equal rows, ties don't arise; repeated rows stay repeated; very long texts are encoded whole;
+the special token's string in a text is that token, as in the library's default; an empty table gives
+no rows; further columns of the input, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_spans, release, slices, table
+from .common import materialise, slices, table
 
 LEAF_BYTES = 8_192
-GIANT_BYTES = 4_096
+WINDOW_BYTES = 64
 SPLIT_CHARS = 1_000_000
-GROUP_BYTES = 4_000_000
-CACHE_ENTRIES = 500_000
-KEPT_ENTRIES = 150_000  # from one task to the next in the same worker
 _ENCODERS: dict[str, Encoder] = {}
+# Fixed value: the pre-tokens of byte-level BPE.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# ASCII white space after a character that is none, in UTF-8
+BREAK = re.compile(rb"(?<=[\x00-\xff])(?<![\t-\r\x1c-\x20])(?<!\xc2[\x85\xa0])(?<!\xe1\x9a\x80)(?<!\xe2\x80[\x80-\x8a\xa8\xa9\xaf])(?<!\xe2\x81\x9f)(?<!\xe3\x80\x80)[\t-\r ]")
 
 
-def members(*codes: int) -> np.ndarray:
-    found = np.zeros(256, bool)
-    found[list(codes)] = True
-    return found
+def break_before(data: bytes, at: int) -> int:
+    """The last break up to ``at``, or 0."""
+    step = 4 * WINDOW_BYTES
+    while at > 0:
+        low = max(0, at - step)
+        if found := [m.start() for m in BREAK.finditer(data, low, at + 1)]:
+            return found[-1]
+        if not low:
+            break
+        step *= 2
+    return 0
 
 
-SPACES = members(*range(9, 14), *range(28, 33))
-# the last two bytes of white space outside ASCII, in UTF-8
-WIDE_LAST = members(0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F)
-WIDE_BEFORE = members(0xC2, 0x80, 0x81, 0x9A)
+def break_after(data: bytes, at: int) -> int:
+    """The first break from ``at`` on, or the end."""
+    found = BREAK.search(data, at)
+    return found.start() if found else len(data)
 
 
 @dataclass
 class Part:
-    """An encoded stretch of text: where its chunks start, their numbers of ids, the ids."""
+    """An encoded stretch of text."""
 
     data: bytes
-    starts: np.ndarray
-    counts: np.ndarray
     ids: np.ndarray
 
-    def slice(self, a: int, b: int) -> Part:
-        """The chunks from a to b."""
-        n = len(self.starts)
-        at, end = (self.starts[a] if a < n else len(self.data)), (self.starts[b] if b < n else len(self.data))
-        first, size = self.counts[:a].sum(), self.counts[a:b].sum()
-        return Part(self.data[at:end], self.starts[a:b] - at, self.counts[a:b], self.ids[first : first + size])
-
-    def __add__(self, other: Part) -> Part:
-        return Part(self.data + other.data, np.concatenate([self.starts, other.starts + len(self.data)]), np.concatenate([self.counts, other.counts]), np.concatenate([self.ids, other.ids]))
-
 
 class Encoder:
-    """One tokenizer file in a worker, with the encodings of chunks seen before."""
+    """One tokenizer file in a worker."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[bytes, bytes] = {}
-        self._pieces: list[bytes] | None = None
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or spec["normalizer"] or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path} is no byte-level BPE")
+        # the byte-level alphabet: printable bytes stand for themselves, others for 256, 257, ...
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        code = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+        back = {chr(c): b for b, c in code.items()}
+        vocabulary = {bytes(back[c] for c in token): i for token, i in model["vocab"].items() if token not in {t["content"] for t in spec["added_tokens"]}}
+        merges = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+        ranks = {bytes([b]): r for r, b in enumerate(sorted(range(256), key=lambda b: vocabulary[bytes([b])]))}
+        ranks |= {bytes(back[c] for c in a + b): 256 + r for r, (a, b) in enumerate(merges)}
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.pieces = [b""] * (1 + max(*vocabulary.values(), *self.special.values(), 0))
+        for piece, i in [*vocabulary.items(), *((s.encode(), i) for s, i in self.special.items())]:
+            self.pieces[i] = piece
+        self.sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        self.cut = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
+        # ids by rank, where they are not the same
+        ids = np.fromiter((vocabulary[p] for p in ranks), np.uint32, len(ranks))
+        self.by_rank = None if np.array_equal(ids, np.arange(len(ids))) else ids
+        self.leaves = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     # -- encoding -------------------------------------------------------------------------------
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _known(self, wanted: list[bytes]) -> list[bytes]:
-        """The ids of chunks; a full cache keeps its older half, as frequent words come early."""
-        found = list(map(self.cache.get, wanted))
-        missing = [i for i, x in enumerate(found) if x is None]
-        if missing:
-            if len(self.cache) + len(missing) > CACHE_ENTRIES:
-                self.cache = dict(islice(self.cache.items(), CACHE_ENTRIES // 2))
-            short = [i for i in missing if len(wanted[i]) <= GIANT_BYTES]
-            for i, ids in zip(short, self._raw([wanted[i].decode() for i in short])):
-                found[i] = self.cache[wanted[i]] = ids
-            for i in missing:
-                if found[i] is None:
-                    found[i] = self._giant(wanted[i].decode())
-        return found
-
-    def _starts(self, a: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """Chunks begin where texts do, and at spaces that follow no white space."""
-        at = np.flatnonzero((a[1:] == 32) & ~SPACES[a[:-1]]) + 1
-        at = at[~(WIDE_LAST[a[at - 1]] & WIDE_BEFORE[a[np.maximum(at - 2, 0)]])]
-        mark = np.zeros(len(a), bool)
-        mark[at] = mark[begins] = True
-        return np.flatnonzero(mark)
-
-    def _leaves(self, texts: list[bytes]) -> list[Part]:
-        """Texts that are not empty, all at once."""
-        data = b"".join(texts)
-        a = np.frombuffer(data, np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        begins = np.append(0, ends[:-1])
-        starts = self._starts(a, begins)
-        lengths = np.diff(np.append(starts, len(a)))
-        codes, first = distinct_spans(a, starts, lengths)
-        known = self._known([data[s : s + n] for s, n in zip(starts[first].tolist(), lengths[first].tolist())])
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        counts, at = size[codes], (np.cumsum(size) - size)[codes]
-        ids = flat[np.arange(counts.sum()) + np.repeat(at - (np.cumsum(counts) - counts), counts)]
-        chunk = np.append(np.searchsorted(starts, begins), len(starts))
-        token = np.append(0, np.cumsum(counts))[chunk]
-        return [Part(t, starts[c:d] - b, counts[c:d], ids[i:j]) for t, b, c, d, i, j in zip(texts, begins, chunk, chunk[1:], token, token[1:])]
+    def _leaf(self, text: str) -> np.ndarray:
+        ids = np.array(self.leaves.encode_ordinary(text), np.uint32)
+        return ids if self.by_rank is None else self.by_rank[ids]
+
+    def _tokens(self, ids: np.ndarray, size: int) -> int:
+        """How many of the first ids make up ``size`` bytes."""
+        return int(np.searchsorted(np.cumsum(self.sizes[ids[:size]]), size)) + 1 if size else 0
 
     def join(self, left: Part, right: Part) -> Part:
         """The encoding of the concatenation, from those of its halves."""
-        n, m, width = len(left.starts), len(right.starts), 2
+        width, data = WINDOW_BYTES, left.data + right.data
         while True:
-            a, b = max(0, n - width), min(m, width)
-            head, tail = left.slice(a, n), right.slice(0, b)
-            (window,) = self._leaves([head.data + tail.data])
-            left_agrees = a == 0 or np.array_equal(window.starts[:2], head.starts[:2])
-            right_agrees = b == m or window.starts[-1] == len(head.data) + tail.starts[-1]
-            if left_agrees and right_agrees:
-                return left.slice(0, a) + window + right.slice(b, m)
+            a, b = break_before(left.data, len(left.data) - width), break_after(right.data, min(width, len(right.data)))
+            window = self._stretch(left.data[a:] + right.data[:b])
+            n, m = self._tokens(left.ids[::-1], len(left.data) - a), self._tokens(right.ids, b)
+            if (a == 0 or window[0] == left.ids[len(left.ids) - n]) and (b == len(right.data) or window[-1] == right.ids[m - 1]):
+                return Part(data, np.concatenate([left.ids[: len(left.ids) - n], window, right.ids[m:]]))
             width *= 2
 
-    def _joined(self, parts: list[Part]) -> Part:
+    def joined(self, parts: list[Part]) -> Part:
         while len(parts) > 1:
             parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def halves(self, data: bytes) -> list[bytes]:
-        """Leaves of a text, cut between characters."""
+    def tree(self, data: bytes) -> Part:
         if len(data) <= LEAF_BYTES:
-            return [data]
+            return Part(data, self._leaf(data.decode()))
         half = len(data) // 2
-        while data[half] & 0xC0 == 0x80:
+        while data[half] & 0xC0 == 0x80:  # cut between characters
             half += 1
-        return self.halves(data[:half]) + self.halves(data[half:])
-
-    def parts(self, texts: list[bytes]) -> list[Part]:
-        leaves = [self.halves(t) for t in texts]
-        flat = [x for xs in leaves for x in xs]
-        done: list[Part] = []
-        at = size = 0
-        for i, x in enumerate(flat):
-            size += len(x)
-            if size >= GROUP_BYTES or i + 1 == len(flat):
-                done += self._leaves(flat[at : i + 1])
-                at, size = i + 1, 0
-        out, at = [], 0
-        for xs in leaves:
-            out.append(self._joined(done[at : at + len(xs)]))
-            at += len(xs)
-        return out
+        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+
+    def _stretch(self, data: bytes) -> np.ndarray:
+        """A window; one longer than two leaves has no break inside: pre-token by pre-token."""
+        if len(data) <= 2 * LEAF_BYTES:
+            return self._leaf(data.decode())
+        from tokenizers.pre_tokenizers import ByteLevel
 
-    def _giant(self, chunk: str) -> bytes:
-        """A long chunk, pre-token by pre-token; a huge pre-token by its own tree."""
-        pieces = [chunk[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
-        return b"".join(self._unbroken(p) if len(p) > GIANT_BYTES else self._raw([p])[0] for p in pieces)
+        text = data.decode()
+        return np.concatenate([self._unbroken(text[a:b]) for _, (a, b) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)])
 
-    def _unbroken(self, run: str) -> bytes:
-        if len(run) <= GIANT_BYTES:
-            return self._raw([run])[0]
+    def _unbroken(self, run: str) -> np.ndarray:
+        """One pre-token of any length."""
+        if len(run) <= LEAF_BYTES // 2:
+            return self._leaf(run)
         half = len(run) // 2
-        left, right = (np.frombuffer(self._unbroken(x), np.uint32) for x in (run[:half], run[half:]))
-        width = 4
+        left, right, width = self._unbroken(run[:half]), self._unbroken(run[half:]), 4
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
             while a and not self._whole(left[a]):
                 a -= 1
             while b < len(right) and not self._whole(right[b]):
                 b += 1
-            window = np.frombuffer(self._raw([self.decode(np.concatenate([left[a:], right[:b]]))])[0], np.uint32)
+            window = self._leaf(self.decode(np.concatenate([left[a:], right[:b]])))
             if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
-                return np.concatenate([left[:a], window, right[b:]]).tobytes()
+                return np.concatenate([left[:a], window, right[b:]])
             width *= 2
 
     def _whole(self, token: int) -> bool:
         """Whether a token begins with a whole character."""
         return self.pieces[token][0] & 0xC0 != 0x80
 
-    def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out = [b""] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if t:
-                data = t.encode()
-                if any(s in data for s in self.special):
-                    out[i] = self._raw([t])[0]
-                else:
-                    plain.append((i, data))
-        if plain:
-            for (i, _), part in zip(plain, self.parts([d for _, d in plain])):
-                out[i] = part.ids.tobytes()
-        return out
-
-    def trim(self) -> None:
-        """Keep the oldest, most frequent chunks only."""
-        if len(self.cache) > KEPT_ENTRIES:
-            self.cache = dict(islice(self.cache.items(), KEPT_ENTRIES))
-        release()
-
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text])[0]
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        if not text:
+            return b""
+        if len(text) * 4 <= LEAF_BYTES and self.by_rank is None and not self.cut.search(text):
+            return array("I", self.leaves.encode_ordinary(text)).tobytes()
+        out, at = [], 0
+        for m in [*self.cut.finditer(text), None]:
+            if between := text[at : m.start() if m else len(text)]:
+                out.append(self.tree(between.encode()).ids.tobytes())
+            if m:
+                out.append(array("I", [self.special[m[0]]]).tobytes())
+                at = m.end()
+        return b"".join(out)
 
     # -- decoding -------------------------------------------------------------------------------
 
-    @property
-    def pieces(self) -> list[bytes]:
-        """The bytes of each id."""
-        if self._pieces is None:
-            # the byte-level alphabet: printable bytes stand for themselves, others for 256, 257, ...
-            plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            code = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*plain}))}
-            back = {chr(c): b for b, c in code.items()}
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-            self._pieces = [b""] * (max(vocabulary.values()) + 1)
-            for token, i in vocabulary.items():
-                self._pieces[i] = token.encode() if token.encode() in self.special else bytes(back[c] for c in token)
-        return self._pieces
-
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids.tolist()))
 
@@ -253,25 +200,77 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, path: str, split_chars: int = SPLIT_CHARS) -> DataFrame:
-    """doc_id, ids array<int>: one row per document."""
+def mapped(docs: DataFrame, path: str, finish: Callable[[pa.Array, list[bytes], Encoder], pa.RecordBatch], fields: str, split_chars: int = SPLIT_CHARS) -> DataFrame:
+    """Rows of doc_id and ``fields`` that ``finish`` makes of ids of documents and those of their texts,
+    where they are encoded, so that no ids need to be moved."""
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, {fields}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for part in slices(batches):
-            ids = [np.frombuffer(x, np.int32) for x in enc.encode_all(part.column("text").to_pylist())]
-            offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.concatenate(ids) if len(ids) else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "ids"])
+            yield finish(part.column("doc_id"), list(map(enc.encode, part.column("text").to_pylist())), enc)
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    # Very long texts: each distinct one is dealt out in segments, between special tokens, and the
+    # segments of one text meet again for the joins.
+    out = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= split_chars).mapInArrow(short, schema)
+    long = materialise(docs.where(F.length("text") > split_chars).select("doc_id", "text", F.sha2("text", 256).alias("key")), "long-texts")
+    if long.isEmpty():
+        return out
+    marks = "|".join(f"\\Q{s}\\E" for s in sorted(encoder(path).special, key=len, reverse=True))
+    parts = long.dropDuplicates(["key"])
+    if marks:
+        parts = parts.select("key", F.posexplode(F.split("text", marks, -1)).alias("part", "between"), F.regexp_extract_all("text", F.lit(marks), F.lit(0)).alias("marks"))
+        parts = parts.select("key", "part", "between", F.get("marks", F.col("part")).alias("mark"))
+    else:
+        parts = parts.select("key", F.lit(0).alias("part"), F.col("text").alias("between"), F.lit(None).cast("string").alias("mark"))
+    last = F.greatest(F.lit(1), F.ceil(F.length("between") / split_chars).cast("int")) - 1
+    segments = parts.select("key", "part", "mark", "between", F.explode(F.sequence(F.lit(0), last)).alias("seg"))
+    segments = segments.select("key", "part", "mark", "seg", F.expr(f"substring(between, seg * {split_chars} + 1, {split_chars})").alias("text"))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for part in slices(batches):
+            done = [enc.tree(t.encode()) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([p.data for p in done], pa.binary()), pa.array([p.ids.tobytes() for p in done], pa.binary())], ["key", "part", "mark", "seg", "data", "ids"])
+
+    def whole(t: pa.Table) -> pa.Table:
+        enc = encoder(path)
+        ids, run = [], []
+        t = t.sort_by([("part", "ascending"), ("seg", "ascending")])
+        for part, mark, data, own in zip(*(t.column(c).to_pylist() for c in ("part", "mark", "data", "ids")), strict=True):
+            if run and run[0][0] != part:
+                ids.append(enc.joined([p for _, p in run]).ids.tobytes())
+                if last_mark is not None:
+                    ids.append(array("I", [enc.special[last_mark]]).tobytes())
+                run = []
+            run.append((part, Part(data, np.frombuffer(own, np.uint32))))
+            last_mark = mark
+        ids.append(enc.joined([p for _, p in run]).ids.tobytes())
+        return pa.table({"key": t.column("key").slice(0, 1), "ids": pa.array([b"".join(ids)], pa.binary())})
+
+    def closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            yield finish(part.column("doc_id"), part.column("ids").to_pylist(), encoder(path))
+
+    shape = "key string, part int, mark string, seg int, data binary, ids binary"
+    found = segments.repartition("key", "part", "seg").mapInArrow(encoded, shape).groupBy("key").applyInArrow(whole, "key string, ids binary")
+    return out.unionByName(long.select("doc_id", "key").join(found, "key").select("doc_id", "ids").mapInArrow(closing, schema))
+
+
+def encode(docs: DataFrame, path: str, split_chars: int = SPLIT_CHARS) -> DataFrame:
+    """doc_id, ids array<int>: one row per document."""
+
+    def rows(doc_id: pa.Array, ids: list[bytes], enc: Encoder) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+        return pa.RecordBatch.from_arrays([doc_id, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), np.int32)))], ["doc_id", "ids"])
+
+    return mapped(docs, path, rows, "ids array<int>", split_chars)
 
 
 def digests(docs: DataFrame, path: str, split_chars: int = SPLIT_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def row(enc: Encoder, ids: bytes) -> tuple[int, str, str]:
         back = enc.decode_bytes(np.frombuffer(ids, np.uint32))
@@ -281,45 +280,11 @@ def digests(docs: DataFrame, path: str, split_chars: int = SPLIT_CHARS) -> DataF
             back = back.decode("utf-8", "replace").encode()
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for part in slices(batches):
-            n, a, b = zip(*(row(enc, ids) for ids in enc.encode_all(part.column("text").to_pylist())))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        enc.trim()
-
-    short = docs.where(F.coalesce(F.length("text"), F.lit(0)) <= split_chars).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-    # Very long texts: each distinct one is dealt out in segments; a row of a segment holds its
-    # chunks and their ids, and the segments of one text meet again for the joins.
-    long = docs.where(F.length("text") > split_chars).select("doc_id", "text", F.sha2("text", 256).alias("key"))
-    n = F.ceil(F.length("text") / split_chars).cast("int")
-    segments = long.dropDuplicates(["key"]).select("key", F.explode(F.sequence(F.lit(0), n - 1)).alias("seg"), "text").select("key", "seg", F.expr(f"substring(text, seg * {split_chars} + 1, {split_chars})").alias("text"))
-
-    def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for part in slices(batches):
-            for key, seg, text in zip(*(c.to_pylist() for c in part.columns)):
-                (p,) = enc.parts([text.encode()])
-                lists = (pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (p.starts, p.counts, p.ids))
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([seg], pa.int32()), pa.array([p.data]), *lists], ["key", "seg", "data", "starts", "counts", "ids"])
-
-    encoded = segments.repartition("key", "seg").mapInArrow(leaves, "key string, seg int, data binary, starts array<int>, counts array<int>, ids array<int>")
+    def rows(doc_id: pa.Array, ids: list[bytes], enc: Encoder) -> pa.RecordBatch:
+        n, a, b = zip(*(row(enc, x) for x in ids))
+        return pa.RecordBatch.from_arrays([doc_id, pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def joined(pdf):
-        import pandas as pd
-
-        enc = encoder(path)
-        pdf = pdf.sort_values("seg")
-        whole = enc._joined([Part(bytes(d), np.asarray(s, np.int64), np.asarray(c, np.int64), np.asarray(i, np.uint32)) for d, s, c, i in zip(pdf["data"], pdf["starts"], pdf["counts"], pdf["ids"])])
-        ids = whole.ids.tobytes()
-        if any(s in whole.data for s in enc.special):
-            ids = enc.encode(whole.data.decode())
-        n, a, b = row(enc, ids)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
-
-    whole = encoded.groupBy("key").applyInPandas(joined, "key string, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return short.unionByName(long.select("doc_id", "key").join(whole, "key").drop("key"))
+    return mapped(docs, path, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", split_chars)
 
 
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

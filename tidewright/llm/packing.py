@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
-from .common import materialise, slices, table
+from .bpe import Encoder, mapped
+from .common import materialise, table
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -32,25 +32,20 @@ Pattern = tuple[tuple[int, int], ...]  # (size, how many) in the order of their
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and a closing 0, cut only if they
     exceed ``capacity``; the first piece takes the remainder."""
-    docs = docs.select("doc_id", "text")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
-        for part in slices(batches):
-            row, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(enc.encode_all(part.column("text").to_pylist())):
-                ids += END
-                n, at = len(ids) // 4, 0
-                cut = (n - 1) % capacity + 1
-                for k in range((n - 1) // capacity + 1):
-                    row.append(i), piece.append(k), start.append(at), length.append(cut - at)
-                    crc.append(zlib.crc32(ids[4 * at : 4 * cut]))
-                    at, cut = cut, cut + capacity
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names)
-        enc.trim()
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+
+    def rows(doc_id: pa.Array, encoded: list[bytes], enc: Encoder) -> pa.RecordBatch:
+        row, piece, start, length, crc = [], [], [], [], []
+        for i, ids in enumerate(encoded):
+            ids += END
+            n, at = len(ids) // 4, 0
+            cut = (n - 1) % capacity + 1
+            for k in range((n - 1) // capacity + 1):
+                row.append(i), piece.append(k), start.append(at), length.append(cut - at)
+                crc.append(zlib.crc32(ids[4 * at : 4 * cut]))
+                at, cut = cut, cut + capacity
+        return pa.RecordBatch.from_arrays([doc_id.take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return mapped(docs, path, rows, "piece int, start long, length long, ids_crc32 long")
 
 
 def reduce_instance(left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
