@@ -109,9 +109,9 @@ def least_bins(sizes, capacity):
 
 def test_reduction_keeps_the_optimum():
     rng = np.random.default_rng(2)
-    for _ in range(120):
+    for _ in range(300):
         capacity = int(rng.integers(8, 40))
-        sizes = [int(x) for x in rng.integers(1, capacity + 1, 9)]
+        sizes = [int(x) for x in rng.integers(rng.integers(1, capacity // 2), capacity + 1, rng.integers(4, 10))]
         left = np.bincount(sizes, minlength=capacity + 1)
         fixed = packing.reduce_instance(left, capacity)
         rest = [s for s in range(capacity + 1) for _ in range(left[s])]

@@ -7,13 +7,16 @@ packing must hold, in all their copies at once; best fit decreasing packs what i
 is a list of bin patterns with multiplicities. Each piece finds its bin by its rank among the pieces
 of its size; ranks are taken in salted groups, so a frequent size spreads over many tasks.
 
-Defined results: a null or empty text is one piece, the closing id alone; repeated rows are pieces
-of their own; an empty table gives no rows; further columns of the input are ignored.
+Defined results: a null or empty text is one piece, the closing id alone; a very long text is cut into
+full pieces after the remainder; repeated rows are pieces of their own; pieces of one size, which any
+packing may exchange, are ranked by doc_id, piece and checksum; an empty table gives no rows; further
+columns of the input, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,59 +51,58 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return mapped(docs, path, rows, "piece int, start long, length long, ids_crc32 long")
 
 
-def reduce_instance(left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
-    """Sets that dominate every alternative for the largest item, fixed and taken out of ``left``
-    (counts by size). Stops at the first largest item for which no set of two or three is proven."""
-    fixed: list[tuple[Pattern, int]] = []
-
-    def fix(sizes: list[int], copies: int) -> None:
-        fixed.append((tuple((s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)), copies))
-        for s in sizes:
-            left[s] -= copies
-
-    # an item and its exact complement dominate every set with that item
-    for s in range(capacity, capacity // 2, -1):
-        if s == capacity and left[s]:
-            fix([s], int(left[s]))
-        elif s < capacity and (m := int(min(left[s], left[capacity - s]))):
-            fix([s, capacity - s], m)
-    if capacity % 2 == 0 and left[capacity // 2] >= 2:
-        fix([capacity // 2] * 2, int(left[capacity // 2] // 2))
-    while left.any():
-        j = int(np.flatnonzero(left)[-1])
-        room = capacity - j
-        left[j] -= 1  # the other items
-        small = np.flatnonzero(left)
-        count = int(left[j]) + 1
-        least = [int(s) for s in small[:3] for _ in range(min(3, int(left[s])))][:3]
-        left[j] += 1
-        if not least or least[0] > room:
-            fix([j], count)
-            continue
-        best = int(small[small <= room][-1])
-        copies = count // 2 if best == j else int(min(count, left[best]))  # what is proven stays so as items go
-        if len(least) < 2 or least[0] + least[1] > room:  # at most one companion fits
-            fix([j, best], copies)
-        elif (len(least) < 3 or sum(least) > room) and best >= best_pair(left, j, small, room):  # at most two fit
-            fix([j, best], copies)
-        else:
-            return fixed
-    return fixed
-
-
-def best_pair(left: np.ndarray, j: int, small: np.ndarray, room: int) -> int:
-    """The largest sum up to ``room`` of two other items than the one of size ``j``."""
-    most, high = 0, len(small) - 1
-    for low, a in enumerate(small.tolist()):
-        while high > low and a + small[high] > room:
+def best_pair(sizes: np.ndarray, counts: np.ndarray, room: int) -> int:
+    """The largest sum up to ``room`` of two items of the given sizes, or 0."""
+    most, high = 0, len(sizes) - 1
+    for low, a in enumerate(sizes.tolist()):
+        while high > low and a + sizes[high] > room:
             high -= 1
         if high > low:
-            most = max(most, a + int(small[high]))
-        if 2 * a <= room and left[a] - (a == j) > 1:
+            most = max(most, a + int(sizes[high]))
+        if 2 * a <= room and counts[a] > 1:
             most = max(most, 2 * a)
     return most
 
 
+def companions(others: np.ndarray, room: int) -> list[int] | None:
+    """The items that go with one that leaves ``room``, if their set dominates: the items of any other
+    set that fits can be dealt to the members of this one so that none gets more than its own size."""
+    sizes = np.flatnonzero(others[: room + 1])
+    if not len(sizes):
+        return []
+    a = int(sizes[-1])
+    least = [int(s) for s in sizes[:3] for _ in range(min(3, int(others[s])))][:3]
+    if a == room or len(least) < 2 or least[0] + least[1] > room:
+        return [a]
+    if len(least) == 3 and sum(least) <= room:
+        return None  # sets of four and more aren't looked at
+    if a >= best_pair(sizes, others, room):
+        return [a]
+    second = [s for s in sizes[sizes <= room - a].tolist() if others[s] > (s == a)]
+    if second and a >= best_pair(sizes[sizes > second[-1]], others, room):
+        return [a, second[-1]]
+    return None
+
+
+def reduce_instance(left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
+    """For each item, the largest first: the set of up to three that dominates all others with it, if
+    there is one, fixed in as many copies as there are and taken out of ``left`` (counts by size)."""
+    fixed: list[tuple[Pattern, int]] = []
+    for j in range(capacity, 0, -1):
+        while left[j]:
+            left[j] -= 1  # the other items
+            found = companions(left, capacity - j)
+            left[j] += 1
+            if found is None:
+                break
+            need = Counter([j, *found])
+            copies = min(int(left[s]) // n for s, n in need.items())  # what is proven stays so as items go
+            fixed.append((tuple(sorted(need.items(), reverse=True)), copies))
+            for s, n in need.items():
+                left[s] -= n * copies
+    return fixed
+
+
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     """Best fit decreasing over counts: bins with one content are handled together."""
     open_bins: dict[int, list[tuple[Pattern, int]]] = {}
