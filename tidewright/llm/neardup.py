@@ -2,28 +2,30 @@
 
 A text's shingles are its runs of five words (letters and digits, lower case; a shorter text is one
 shingle), weighted by term frequency times inverse document frequency. Document frequencies of all
-shingles of all texts are counted in a sketch of ``COUNTERS`` counters, a fixed size; the weight of a
-rare shingle is 1 + ``SPREAD``, falling to 1 for one that all texts have. (An undamped IDF would make
-the few words that differ outweigh the many that a large group of copies shares.)
+shingles of all texts are counted in a sketch of ``COUNTERS`` counters, a fixed size. The weight of a
+shingle in up to the square root of all texts is 1 + ``SPREAD``, whatever the sketch's noise, falling
+to 1 for one that all texts have. (An undamped IDF would make the few words that differ outweigh the
+many that a large group of copies shares.)
 
 Improved consistent weighted sampling draws ``BANDS`` x ``ROWS`` samples a text, banded into
 buckets. Equal texts are one class and are sampled and compared once. In a bucket each class is
-compared with the bucket's first, and with the first of those that share the next band too; those that
-may still be like another one are dealt again without the first, ``ROUNDS`` times in all, so a bucket
-costs its size, not its square. Classes left after that, as in buckets crowded by a passage that unlike
-texts share, are joined exactly: two that are alike share one of their rarest shingles, so all of their
-pairs but those that a bound on the common weight rules out, or that are in one group already, are
-compared. Compared pairs are links if their exact weighted Jaccard similarity is ``SIMILAR`` or more;
-groups are the connected components of the links.
+compared with the bucket's first, its leader, so a bucket costs its size, not its square. Those of other
+groups than the leader's are dealt again under a leader of their own, ``ROUNDS`` times in all. Then
+groups are known but for links between them, and those are found exactly: two alike share one of
+their rarest shingles, so of the classes still in question all pairs of different groups are compared
+but those that a bound on the common weight rules out. Of a leader's group only those are in question
+that may be as near to another group by the triangle inequality. Compared pairs are links if their exact
+weighted Jaccard similarity is ``SIMILAR`` or more; groups are the connected components of the links.
 
 Defined results: a null text is a group of its own; empty texts, or other texts without a word, are
-grouped only with equal ones; rows with one doc_id are one document; a null doc_id stays ungrouped
-(group_id null); ties go to the smallest doc_id; further columns are ignored.
+grouped only with equal ones; very long texts are compared whole; rows with one doc_id are one
+document; a null doc_id stays ungrouped (group_id null); ties go to the smallest doc_id; an empty table
+gives no rows; further columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,7 @@ from .common import materialise, mixed, slices, span_hashes, table
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 3
-ROUNDS = 5
+ROUNDS = 3
 COUNTERS = 1 << 18
 SPREAD = 0.25
 SLACK = 1e-6  # of rounding in sums of weights
@@ -89,7 +91,7 @@ class Weights:
     def __init__(self, counters: np.ndarray, n: int):
         rare = max(1.0, float(counters.mean()))  # what unrelated shingles add to a counter
         df = np.clip(counters - rare, 1.0, max(1.0, n))
-        self.idf = (1 + SPREAD * np.log(max(n, 2) / df) / np.log(max(n, 2))).astype(np.float32)
+        self.idf = (1 + SPREAD * np.minimum(1, 2 * np.log(max(n, 2) / df) / np.log(max(n, 2)))).astype(np.float32)
 
     def of(self, shingle: np.ndarray, often: np.ndarray) -> np.ndarray:
         return often * self.idf[(shingle >> np.uint64(46)).astype(np.int64)]
@@ -205,8 +207,8 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
 
 
-def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, compare, similar: float) -> DataFrame:
-    """a, b, root_a, root_b: all links between the classes ``left`` that are of different groups so far.
+def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, compared: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
+    """a, b: roots of groups so far that have a link between them, of their members among ``left``.
     Groups meet by the shingles of prefixes, then those of their members that may be alike."""
     kind = texts.schema["class_id"].dataType.simpleString()
 
@@ -228,15 +230,13 @@ def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, com
     meet = side(most, "a").join(side(most, "b"), "shingle").where(may).select("shingle", "root_a", "root_b")
     pairs = meet.join(side(places, "a"), ["shingle", "root_a"]).join(side(places, "b"), ["shingle", "root_b"]).where(may)
     pairs = materialise(pairs.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "root_a", "root_b").distinct(), "pairs")
-    met = pairs.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a")
-    found = met.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= similar)
-    return materialise(found.join(pairs, ["a", "b"]).select("a", "b", "root_a", "root_b"), "links")
+    like = compared(pairs.select("a", "b")).where(F.col("similarity") >= similar)
+    return like.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id, group_id, n_links: a row for each row of ``docs``. class_id is the smallest id
-    with an equal text, group_id the smallest id of the near-duplicate group, n_links the number of
-    compared classes of other text that the row's class is linked with."""
+    """doc_id, class_id, group_id: a row for each row of ``docs``. class_id is the smallest id with an
+    equal text, group_id the smallest id of the near-duplicate group."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs))  # COUNTERS floats
@@ -251,70 +251,67 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
                     bands[i] = b.astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
 
-    keyed = docs.withColumn("key", F.sha2("text", 256))
-    signed = materialise(keyed.where("doc_id is not null").mapInArrow(sign, f"doc_id {kind}, key string, bands array<long>"), "signatures")
+    keyed = docs.where("doc_id is not null").withColumn("key", F.sha2("text", 256))
+    signed = materialise(keyed.mapInArrow(sign, f"doc_id {kind}, key string, bands array<long>"), "signatures")
     classes = materialise(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")), "classes")
 
-    own = classes.where("bands is not null").select("class_id", F.posexplode("bands").alias("band", "value"), F.col("bands").alias("all"))
-    after = F.get("all", F.pmod(F.col("band") + 1, F.lit(BANDS)))
-    # coarse buckets (a band) and fine ones (a band and the next)
-    places = own.select("class_id", F.explode(F.array(F.struct("band", "value"), F.struct((F.col("band") + BANDS).alias("band"), F.xxhash64("value", after).alias("value")))).alias("p")).select("class_id", "p.*")
-    crowd = places.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("class_id").alias("first")).where("n > 1")
-    waiting = materialise(places.join(crowd.select("band", "value"), ["band", "value"]), "buckets")
-
-    members = waiting.select("class_id").distinct()
-    texts = materialise(keyed.join(classes.select("key", "class_id"), "key").where("doc_id = class_id").join(members, "class_id", "left_semi").dropDuplicates(["class_id"]).select("class_id", "text"), "candidates")
+    places = classes.where("bands is not null").select("class_id", F.posexplode("bands").alias("band", "value"))
+    lead = places.groupBy("band", "value").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    led = materialise(places.join(lead, ["band", "value"]), "buckets")
+    members = led.select("class_id").distinct().join(classes.select("class_id", "key"), "class_id")
+    texts = docs.join(members, F.col("doc_id") == F.col("class_id")).where(F.sha2("text", 256) == F.col("key"))
+    texts = materialise(texts.dropDuplicates(["class_id"]).select("class_id", "text"), "candidates")
+    led = led.where("class_id > lead")
+
+    def weighed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        of, s, n = shingles(texts)
+        order = np.lexsort((s, of))
+        of, s, w = of[order], s[order], weights.value.of(s, n)[order].astype(float)
+        at = np.searchsorted(of, np.arange(len(texts) + 1))
+        return [(s[i:j], w[i:j]) for i, j in zip(at, at[1:])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, last = weights.value, (None, None)
-
-        def weighed(t: str) -> tuple[np.ndarray, np.ndarray]:
-            _, s, n = shingles([t])
-            order = np.argsort(s)
-            return s[order], w.of(s, n)[order].astype(float)
-
         for part in slices(batches):
-            out = []
-            for a, x, y in zip(part.column("a").to_pylist(), part.column("x").to_pylist(), part.column("y").to_pylist()):
-                if last[0] != a:
-                    last = (a, weighed(x))
-                out.append(similarity(last[1], weighed(y)))
+            a, x, y = (part.column(c).to_pylist() for c in ("a", "x", "y"))
+            fresh = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]  # rows of one leader come together
+            xs, ys = weighed([x[i] for i in fresh]), weighed(y)
+            nth = np.searchsorted(fresh, np.arange(len(a)), "right") - 1
+            out = [similarity(xs[k], one) for k, one in zip(nth, ys)]
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
-    seen = None
-    for k in range(ROUNDS):
-        lead = waiting.groupBy("band", "value").agg(F.min("class_id").alias("a"))
-        led = waiting.join(lead, ["band", "value"]).where("class_id > a").withColumnRenamed("class_id", "b")
-        pairs = led.select("a", "b").distinct()
-        if seen is not None:
-            pairs = pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+    def compared(pairs: DataFrame) -> DataFrame:
         met = pairs.join(texts.select(F.col("class_id").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("class_id").alias("a"), F.col("text").alias("x")), "a")
-        compared = materialise(met.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double"), "compared")
-        seen = compared if seen is None else seen.unionByName(compared)
-        # Left: those unlike their bucket's first, and of those like it the ones that may be like one
-        # of them. 1 - similarity is a metric, so x can't be unless it is as far from the first as
-        # the nearest unlike one, less 1 - similar.
-        known = led.join(seen, ["a", "b"])
-        unlike = known.where(F.col("similarity") < similar).groupBy("band", "value").agg(F.max("similarity").alias("nearest"))
-        left = known.join(unlike, ["band", "value"]).where((F.col("similarity") < similar) | (F.col("similarity") <= F.col("nearest") + (1 - similar)))
-        left = left.select(F.col("b").alias("class_id"), "band", "value")
-        # one alone in its bucket has met all others
-        waiting = materialise(left.join(left.groupBy("band", "value").count().where("count > 1").drop("count"), ["band", "value"]), "buckets")
-        if waiting.isEmpty():
+        return materialise(met.select("a", "b", "x", "y").mapInArrow(compare, f"a {kind}, b {kind}, similarity double"), "compared")
+
+    seen = near = roots = late = None
+    for _ in range(ROUNDS):
+        pairs = led.select(F.col("lead").alias("a"), F.col("class_id").alias("b")).distinct()
+        fresh = compared(pairs if seen is None else pairs.join(seen.select("a", "b"), ["a", "b"], "left_anti"))
+        seen = fresh if seen is None else seen.unionByName(fresh)
+        if roots is None:
+            roots = materialise(components(seen.where(F.col("similarity") >= similar)), "roots")
+        near = seen.join(roots.select(F.col("node").alias("a"), F.col("root").alias("p")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("q")), "b", "left")
+        far = (F.col("similarity") < similar) & (F.coalesce("p", "a") != F.coalesce("q", "b"))
+        known = led.join(near.select(F.col("a").alias("lead"), F.col("b").alias("class_id"), "similarity", far.alias("far")), ["lead", "class_id"])
+        # 1 - similarity is a metric: one of the leader's group can be like one of another group only if
+        # it is as far from the leader as the nearest of those, less 1 - similar.
+        others = known.where("far").groupBy("band", "value").agg(F.max("similarity").alias("nearest"))
+        left = materialise(known.join(others, ["band", "value"]).where(F.col("far") | (F.col("similarity") <= F.col("nearest") + (1 - similar))).select("class_id", "band", "value", "far"), "left")
+        ids = left.select("class_id")
+        late = ids if late is None else late.unionByName(ids)
+        led = left.where("far").drop("far")
+        led = led.join(led.groupBy("band", "value").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n"), ["band", "value"])
+        led = materialise(led.where("class_id > lead"), "buckets")
+        if led.isEmpty():
             break
-    links = seen.where(F.col("similarity") >= similar)
+    links = seen.where(F.col("similarity") >= similar).select("a", "b")
     roots = materialise(components(links), "roots")
     named = classes.select("key", "class_id").join(roots, F.col("class_id") == F.col("node"), "left").select("key", "class_id", F.coalesce("root", "class_id").alias("root"))
-    if not waiting.isEmpty():
-        late = rest_links(waiting.select("class_id").distinct(), named, texts, weights, compare, similar)
-        links = links.select("a", "b").unionByName(late.select("a", "b"))
-        joined = materialise(components(late.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))), "roots")
-        named = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("low")), "root", "left").select("key", "class_id", F.coalesce("low", "root").alias("root"))
-
-    ends = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    named = named.join(ends, "class_id", "left").select("key", "class_id", F.col("root").alias("group_id"), "n_links")
+    found = rest_links(late.distinct(), named, texts, weights, compared, similar)
+    joined = materialise(components(found), "roots")
+    named = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("low")), "root", "left").select("key", "class_id", F.coalesce("low", "root").alias("group_id"))
     rows = signed.select("doc_id", "key").unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("string").alias("key")))
-    return rows.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
