@@ -10,7 +10,10 @@ of ``docs``; the last one returns the packed pieces.
 * packing: the ids of what is left, in sequences of 2048.
 
 Nulls: a null text has no toxic passage but no letter either, so the language stage rejects it; rows
-with a null doc_id are never duplicates of others. Empty tables pass through as empty tables.
+with a null doc_id are never duplicates of others. Empty tables pass through as empty tables. Very long
+texts go through whole. Of repeated rows with one doc_id one stays, as near duplicates of each other;
+ties between duplicates go to the smallest doc_id. Further columns, of whatever name, are kept as they
+are up to the packing.
 """
 
 from __future__ import annotations
@@ -47,7 +50,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [("toxicity", toxic_stage), ("language", language_stage), ("near_duplicates", duplicate_stage), ("secrets", secret_stage), ("packing", packing_stage)]
-#: Iterative fits, sampling and a tokenizer: SQL can't express them; tests/llm holds the stages against plain versions.
+#: Iterative fits, sampling and a tokenizer: SQL can't express them; tests/llm holds their operators against plain versions.
 ORACLE_SQL = None
 
 

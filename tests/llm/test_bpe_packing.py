@@ -48,7 +48,7 @@ def test_every_token_is_the_encoding_of_its_own_bytes():
 
 def test_all_code_points_are_of_the_librarys_classes():
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = ["".join(f"a{c}1{c}.{c} {c}a" for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
+    texts = ["".join(f"a{c}1{c}." for c in points[at : at + 2000]) for at in range(0, len(points), 2000)]
     enc = bpe.encoder(PATH)
     assert [enc._leaf(t).tolist() for t in texts] == reference(texts)
 

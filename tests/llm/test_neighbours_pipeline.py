@@ -73,6 +73,30 @@ def test_pipeline_stages(spark):
     assert docs.where(F.col("text").rlike("AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")).count() == 0
 
 
+def test_pipeline_with_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("key", F.lit("k")).withColumn("bands", F.lit(1)).withColumn("item", F.lit(None).cast("string"))
+    first = docs.where("doc_id = 1")
+    odd = docs.limit(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema))
+    empty = odd.withColumn("doc_id", F.lit(-1).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.lit(""))
+    long = first.withColumn("doc_id", F.lit(-2).cast(docs.schema["doc_id"].dataType)).withColumn("text", F.concat(F.lit("once upon a time "), F.repeat(F.concat(F.col("text"), F.lit(" ")), 1_200_000 // 100)))
+    mixed = docs.unionByName(first).unionByName(first).unionByName(odd).unionByName(empty).unionByName(long)
+    for name, stage in cp.STAGES[:-1]:
+        out = cp.materialise(stage(spark, mixed, sf), name)
+        assert out.columns == docs.columns
+        mixed = out
+    ids = [r["doc_id"] for r in mixed.select("doc_id").collect()]
+    assert ids.count(1) == 1 and -1 not in ids and None not in ids
+    packed = cp.STAGES[-1][1](spark, mixed, sf)
+    assert packed.select("doc_id").distinct().count() == len(ids)
+    none = docs.limit(0)
+    for name, stage in cp.STAGES:
+        none = cp.materialise(stage(spark, none, sf), name)
+        assert none.count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_queries_run(spark, name):
     out = llm.QUERIES[name](spark, "/root/testdata/sf0.001")

@@ -1,3 +1,5 @@
+import functools
+import itertools
 import math
 import random
 import re
@@ -37,6 +39,11 @@ def test_kd_shards(spark):
     assert rows.groupby("shard")["size"].sum().max() < rows["size"].sum() / 7 + 40_000 and len(small) >= 1
     even = sharding.shard(frame(spark, [words(rng, rng.randint(5, 60)) for _ in range(600)]), 8).toPandas().groupby("shard")["size"].sum()
     assert even.min() > 0.95 * even.mean() and even.max() < 1.05 * even.mean()
+    pairs = [words(rng, rng.randint(5, 60)) for _ in range(300)]
+    both = sharding.shard(frame(spark, pairs + pairs + [None, "", ""]), 5).toPandas()
+    assert both.groupby(["text_crc32", "size"])["shard"].nunique().max() == 1  # copies stay together
+    hot = sharding.shard(frame(spark, pairs + [pairs[0]] * 900), 5).toPandas().groupby("shard")["size"].sum()
+    assert hot.min() > 0.9 * hot.mean() and hot.max() < 1.1 * hot.mean()  # unless there are too many
     assert sharding.shard(df.limit(0), 24).count() == 0
     assert sharding.shard(df.union(df).union(df.limit(1)), 3).count() == 2 * len(texts) + 1
 
@@ -61,23 +68,52 @@ def test_secret_base_spans_stay():
         assert [s for s in secret_scan.find(t, {}) if s[1] < 3] == plain_spans(t)
 
 
+def piece_cost(v, ranks):
+    """The cheapest way to guess ``v`` as one segment, each kind by its definition."""
+    costs, low = [float(len(v))], v.lower()
+    if low in ranks:
+        upper = sum(c.isupper() for c in v)
+        cases = 1 if not upper else 2 if upper == len(v) or (upper == 1 and v[0].isupper()) else math.comb(len(v), upper) + 1
+        costs.append(math.log10((ranks[low] + 1) * cases))
+    for y, m, d in itertools.permutations(range(3)) if any(c.isdigit() for c in v) else ():
+        if (y, m, d) not in ((0, 1, 2), (2, 1, 0)):  # year first, or day first
+            continue
+        for sep in ("", "-", "/", ".", "_"):
+            for parts in ([v.split(sep)] if sep else [[v[:i], v[i:j], v[j:]] for i in range(1, len(v)) for j in range(i + 1, len(v))]):
+                if len(parts) == 3 and all(p.isdigit() for p in parts):
+                    year, month, day = parts[y], parts[m], parts[d]
+                    years = re.fullmatch(r"(19|20)\d\d", year) or (y == 2 and len(year) == 2)
+                    if years and 1 <= int(month) <= 12 and 1 <= int(day) <= 31 and len(month) <= 2 and len(day) <= 2:
+                        costs.append(math.log10(119 * 365))
+    if re.fullmatch(r"(19|20)\d\d", v):
+        costs.append(math.log10(119))
+    for unit in range(1, len(v) // 2 + 1):
+        if len(v) % unit == 0 and len(v) > 2 and v == v[:unit] * (len(v) // unit):
+            costs.append(min(unit, cheapest(v[:unit], ranks) if unit > 2 else unit) + math.log10(len(v) // unit))
+    lines = [*secret_scan.ROWS, *secret_scan.COLUMNS]
+    ways = [next((1 if a + b in x else -1 for x in lines if a + b in x or b + a in x), 0) for a, b in itertools.pairwise(low)]
+    if len(v) >= 3 and all(ways):
+        turns = sum(x != y for x, y in itertools.pairwise(ways))
+        costs.append(math.log10(47 * len(v)) + turns * math.log10(4.6))
+    return min(costs)
+
+
+@functools.cache
+def cheapest_of(value, ranks):
+    return min((piece_cost(value[:n], dict(ranks)) + cheapest_of(value[n:], ranks) for n in range(1, len(value) + 1)), default=0.0)
+
+
 def cheapest(value, ranks):
-    """Brute force over all segmentations into brute force and words."""
-    if not value:
-        return 0.0
-    best = 1.0 + cheapest(value[1:], ranks)
-    for n in range(3, len(value) + 1):
-        if value[:n] in ranks:
-            best = min(best, math.log10(ranks[value[:n]] + 1) + cheapest(value[n:], ranks))
-    return best
+    """Brute force over all segmentations."""
+    return cheapest_of(value, tuple(sorted(ranks.items())))
 
 
 def test_guess_cost():
     rng = random.Random(3)
     ranks = {"cat": 5, "cats": 30, "house": 100, "sho": 900}
     for _ in range(200):
-        v = "".join(rng.sample(["cat", "s", "house", "k#", "zv"], rng.randint(0, 4)))  # no repeats, no walks
-        assert secret_scan.guess_cost(v, ranks) == pytest.approx(cheapest(v, ranks))
+        v = "".join(rng.sample(["cat", "s", "house", "k#", "zv", "CATS", "Sho", "1987", "12.05.99", "2001-1-31", "qwer", "4rfv", "poi", "xx", "ababab", "catcat", "777"], rng.randint(0, 4)))
+        assert secret_scan.guess_cost(v, ranks) == pytest.approx(cheapest(v, ranks)), v
     cost = lambda v: secret_scan.guess_cost(v, {"password": 1})
     assert cost("password") < cost("Password") < cost("1987-06-05") < cost("xK9#mQ2$vL")
     assert cost("qwertyuiop") < 5 and cost("abcabcabcabc") < 5 and cost("a" * 20) < 3

@@ -23,9 +23,11 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is set, in local mode, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         shared = tempfile.mkdtemp(prefix="spark-tidewright-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
     return shared

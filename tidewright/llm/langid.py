@@ -10,9 +10,10 @@ Distance-based rejection: a text is rejected if its cosine is below its language
 ``MARGIN`` times the low quantile of the fitting sample's own cosines at that length, or if it has no
 letter. Rejection is a column of its own; the predicted language stays.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0, and rejected; ties go
-to the language that sorts first; without any row to learn from, all are ``und``; repeated rows stay
-repeated; further columns are ignored.
+Defined results: a null text, or one without a letter (Unicode's category L), is ``und`` with score 0, and
+rejected; very long texts are counted whole; ties go to the language that sorts first; without any row
+to learn from, all are ``und``; repeated rows stay repeated; an empty table gives no rows; further
+columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +36,15 @@ SHARE = 0.05  # smaller clusters are outliers or mislabelled rows
 QUANTILE, MARGIN = 0.01, 0.5
 EVIDENCE = 32  # letters below which no distance rejects
 LENGTHS = (16, 32, 64, 128, 256, 1024)  # bounds, in letters, of the classes that have limits of their own
-LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
     """`` word word ``; empty for a text without letters."""
-    if not text or not LETTER.search(text):
-        return b""
-    return b" " + OTHER.sub(" ", text.lower()).strip().encode() + b" "
+    words = OTHER.sub(" ", text.lower()).split() if text else []
+    if not all(map(str.isalpha, words)):  # signs of numbers are no letters: only category L is
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return b" " + " ".join(words).encode() + b" " if words else b""
 
 
 def counts(texts: list[bytes]) -> np.ndarray:

@@ -16,7 +16,8 @@ own rows and returns k rows a query, which meet in one window over the query.
 Defined results: a vector that is null or zero, has null or non-finite components, or another number
 of components than most, takes no part, as query or candidate; ties go to the smaller id; copies of
 the query's vector under other ids are neighbours at distance 0; rows repeated with one id are one
-neighbour; fewer than k candidates are all returned; further columns are ignored.
+neighbour; fewer than k candidates are all returned; an empty table gives no rows; further columns, of
+whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, smallest, table
 
 BITS, PARTS = 64, 4
 SAMPLE = 4_000
@@ -127,7 +128,7 @@ class Index:
 
 def learn(vectors: DataFrame, dim: int, k: int) -> tuple[Coder, int] | None:
     """Rotation and radius from the ``SAMPLE`` rows with the smallest hash of the id."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    rows = smallest(vectors.withColumn("all", F.lit(0)), "all", "vec_id", SAMPLE).orderBy(F.xxhash64("vec_id"), "vec_id").collect()
     _, x = valid([r["embedding"] for r in rows], dim)
     if len(x) < 2:
         return None
@@ -178,8 +179,9 @@ def best(hits: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows of every row for which ``is_query`` holds."""
+def search(vectors: DataFrame, is_query: Column, k: int = 10, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest rows of every row for which ``is_query`` holds;
+    ``exact`` probes within R = BITS, so that none is missed."""
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sizes = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -187,6 +189,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     if not learned:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, (coder, radius) = sizes["dim"], learned
+    radius = BITS if exact else radius
     queries = vectors.where(is_query).dropDuplicates(["vec_id"])
     blocks = -(-queries.count() // (BLOCK // 2)) or 1  # dealt by a hash: half full on average
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))

@@ -8,8 +8,9 @@ wins. Words are ranked by their counts over all documents, after a short list of
 
 Spans are code points, end exclusive, ordered by start and then by kind as listed; spans may overlap.
 
-Defined results: a null or empty text has no spans (its digest is that of no text); equal texts give
-equal spans; repeated rows stay repeated; an empty table gives no rows; further columns are ignored.
+Defined results: a null or empty text has no spans (its digest is that of no text); very long texts are
+searched whole; equal texts give equal spans; words of one count are ranked by their letters; repeated
+rows stay repeated; an empty table gives no rows; further columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import materialise, slices, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -46,6 +47,7 @@ COLUMNS = ("1qaz", "2wsx", "3edc", "4rfv", "5tgb", "6yhn", "7ujm")
 STEPS = {p: way for row in (*ROWS, *COLUMNS) for a, b in pairwise(row) for p, way in (((a, b), 1), ((b, a), -1))}
 
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
+YEAR = re.compile(r"(?:19|20)\d\d")
 LONGEST = 24  # of words, dates and one piece of a walk or repeat
 DATE_COST, YEAR_COST = math.log10(119 * 365), math.log10(119)
 WALK_STARTS, TURNS = 47, 4.6
@@ -73,8 +75,10 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
                 upper = sum(map(str.isupper, value[i:end]))
                 mixed = 0 if not upper else math.log10(2) if upper == end - i or value[i].isupper() and upper == 1 else math.log10(math.comb(end - i, upper) + 1)
                 reach(end, math.log10(rank + 1) + mixed)
-        if found := DATE.match(value, i, i + 10):
-            reach(found.end(), YEAR_COST if found.end() - i == 4 else DATE_COST)
+        if value[i].isdecimal():
+            for end in range(i + 4, min(n, i + 10) + 1):
+                if DATE.fullmatch(value, i, end):
+                    reach(end, YEAR_COST if YEAR.fullmatch(value, i, end) else DATE_COST)
         for unit in range(1, 9):
             times = 1
             while times * unit < LONGEST and value.startswith(value[i : i + unit], i + times * unit) and i + (times + 1) * unit <= n:
@@ -116,7 +120,8 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def word_ranks(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """Ranks of the common passwords and of the ``size`` most frequent words of all documents."""
+    """Ranks of the common passwords and of the most frequent words of all documents, as many whole
+    steps of frequency as ``size`` words hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -134,10 +139,19 @@ def word_ranks(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
 
     counts = docs.select("text").where("text is not null").mapInArrow(count, "word string, n long")
     word = F.regexp_extract("word", r"^[^\p{L}]*(\p{L}{3,20})[^\p{L}]*$", 1)
-    top = counts.select(word.alias("word"), "n").where("word != ''").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    words = materialise(counts.select(word.alias("word"), "n").where("word != ''").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # A histogram of the counts' logarithms says which of them the most frequent words have, so that
+    # no task sends more of them than there are in all.
+    level, cut, left = F.floor(F.log2("n") * 16).cast("int"), None, size
+    for r in words.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # 16 a doubling
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r["level"]
     ranks = {w: i for i, w in enumerate(COMMON, 1)}
-    for r in top.collect():
-        ranks.setdefault(r["word"], len(ranks) + 1)
+    if cut is not None:
+        for r in sorted(words.where(level >= cut).collect(), key=lambda r: (-r["n"], r["word"])):
+            ranks.setdefault(r["word"], len(ranks) + 1)
     return ranks
 
 

@@ -1,18 +1,22 @@
 """Operator 1: sharding by a k-d tree over metadata, with DataFrame functions only.
 
-The table is split recursively along the widest dimension at the weighted quantile that leaves each
+Equal texts are one group, an item of the tree with the bytes of all its rows and the metadata of its
+smallest id, so they land in one shard. A group above ``PIECE`` of a shard's share, which may be any
+part of the table, is dealt by the id's hash into pieces of about that size, items of their own.
+
+The items are split recursively along the widest dimension at the weighted quantile that leaves each
 side the bytes of its shards, until every leaf is one shard. All nodes of a level are split in the
 same passes: a pass sums bytes by (node, bin of the node's key range), and the next one looks into
-the bin that holds the quantile, until the cut lies between two rows. The driver sees ``BINS`` sums
+the bin that holds the quantile, until the cut lies between two items. The driver sees ``BINS`` sums
 a node and pass, never rows.
 
-A dimension's key is a long: 24 bits of the dimension's value, 16 bits of the text's checksum and
-22 bits of the id's hash. Ties in a dimension are thus split too, and copies of one text stay
-together unless a cut falls into the group, which may hold any share of the rows.
+A dimension's key is a long: 24 bits of the dimension's value and 38 bits of the item's hash, which
+parts ties in a dimension.
 
-Defined results: a null text has no bytes, its checksum is 0; null dimensions are a value of their
-own; repeated rows have equal keys, so all of them go to one shard, each with a slot of its own;
-an empty table gives no rows; columns other than the named ones are ignored.
+Defined results: a null text has no bytes, its checksum is 0, and it is of the group of the empty ones;
+null dimensions are a value of their own; very long texts are items like others; repeated rows of one id
+in a group stay together, each with a slot of its own; an empty table gives no rows; columns other than
+the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from .common import materialise, table
 
 BINS = 1024
 VALUE_BITS = 24
+PIECE = 1 / 8  # of a shard's share of the bytes
 ROW_OVERHEAD = 8
 
 
@@ -98,9 +103,10 @@ def grow(rows: DataFrame, dims: int, shards: int) -> Node:
     return root
 
 
-def key(value: Column, checksum: Column, doc_id: Column) -> Column:
-    tie = F.shiftleft(checksum.bitwiseAND(F.lit(0xFFFF)), 22).bitwiseOR(F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 22) - 1)))
-    return F.shiftleft(value.cast("long"), 62 - VALUE_BITS).bitwiseOR(tie)
+def key(value: Column, tie: Column) -> Column:
+    """24 bits of a value and 38 of the item's hash."""
+    low = tie.bitwiseAND(F.lit((1 << 62 - VALUE_BITS) - 1))
+    return F.shiftleft(value.cast("long"), 62 - VALUE_BITS).bitwiseOR(low)
 
 
 def category(column: Column) -> Column:
@@ -118,13 +124,25 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int = 256 <<
     ``target_bytes`` need."""
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    base = docs.select("doc_id", (bytes_ + ROW_OVERHEAD).alias("size"), crc.alias("text_crc32"), *(category(F.col(c)).alias(f"v{i}") for i, c in enumerate(categories)))
-    values = [magnitude(F.col("size")), *(F.col(f"v{i}") for i in range(len(categories)))]
-    rows = materialise(base.select("doc_id", "size", "text_crc32", *(key(v, F.col("text_crc32"), F.col("doc_id")).alias(f"key{d}") for d, v in enumerate(values))), "shards")
+    own = docs.select("doc_id", (bytes_ + ROW_OVERHEAD).alias("size"), crc.alias("text_crc32"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *(F.col(c).alias(f"v{i}") for i, c in enumerate(categories)))
+    rows = materialise(own, "shard-rows")
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     shards = shards or max(1, -(-int(total or 0) // target_bytes))
-    root = grow(rows, len(values), shards)
-    dealt = rows.select("doc_id", "size", "text_crc32", leaf_value(root, len(values), {x.first: F.lit(x.first) for x in leaves(root)}, F.lit(0)).alias("shard"))
+    piece = max(1.0, (total or 0) / shards * PIECE)
+
+    # Items: a text's rows, or an equal share of them where they are too many for one item. Most texts
+    # occur once, so what is joined back is only the groups that need several pieces.
+    text = ["text_hash", "size", "text_crc32"]
+    many = rows.groupBy(*text).agg(F.sum("size").alias("bytes")).where(F.col("bytes") > piece).select(*text, F.ceil(F.col("bytes") / piece).cast("long").alias("pieces"))
+    placed = rows.join(many, text, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0))).drop("pieces")
+    placed = materialise(placed.withColumn("item", F.xxhash64(*text, "piece")), "shard-rows")
+    first = F.min(F.struct("doc_id", *(f"v{i}" for i in range(len(categories))))).alias("first")
+    items = placed.groupBy("item").agg(F.sum("size").alias("weight"), F.max("size").alias("size"), first)
+    values = [magnitude(F.col("size")), *(category(F.col(f"first.v{i}")) for i in range(len(categories)))]
+    items = materialise(items.select("item", F.col("weight").alias("size"), *(key(v, F.col("item")).alias(f"key{d}") for d, v in enumerate(values))), "shard-items")
+    root = grow(items, len(values), shards)
+    of = items.select("item", leaf_value(root, len(values), {x.first: F.lit(x.first) for x in leaves(root)}, F.lit(0)).alias("shard"))
+    dealt = placed.select("doc_id", "size", "text_crc32", "item").join(of, "item").drop("item")
 
     # Slots without a task that holds a shard: rank in salted groups, plus the rows of those before.
     salt = max(16, n // shards // 200_000)

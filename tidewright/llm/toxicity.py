@@ -9,7 +9,8 @@ is negative, as the theory of maximal segments asks for. A linear-time scan then
 scoring segments of a text.
 
 Extreme-value calibration: lambda solves E[exp(lambda s)] = 1 over the clean tokens' scores; a
-segment of score S in n tokens is expected E = K n exp(-lambda S) times by chance. Segments with E
+segment of score S in n tokens is expected E = K n exp(-lambda S) times by chance, where K is what makes
+this the number of segments from lambda S = ``LEVEL`` on in the sample's clean texts. Segments with E
 up to ``CHANCE`` are the significant passages. A document's evidence is lambda times their scores'
 sum less log(K n) for each, and a logistic curve fitted on the learning rows makes it a probability.
 
@@ -17,9 +18,11 @@ The model is fitted on at most ``SAMPLE`` labelled rows a class, those with the
 id, from the learning folds. Rows of the curve weigh as many as their class has for each one of the
 sample, so that a table's size doesn't move the balance. Texts are scored whole.
 
-Defined results: a null or empty text has no segment and gets the score of a text without evidence;
-several labels of one id count as the largest; without labels of both classes every score is the
-share of toxic labels (0 without any); repeated rows stay repeated; further columns are ignored.
+Defined results: a null or empty text has no segment and gets the score of a text without evidence; very
+long texts are scored whole; of segments of one score the first is taken; several labels of one id
+count as the largest; an empty table gives no rows; without labels of both classes every score is the
+share of toxic labels (0 without any); repeated rows stay repeated; further columns, of whatever name,
+are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ PRIOR = 0.1  # pseudo-counts in all, as a share of the counts
 SIGNIFICANT = 4.0
 DRIFT = 0.25
 CHANCE = 0.01
-K = 0.1
+LEVEL = 2.0  # of lambda * score: chance segments of clean text are counted from here on
 STEM = 5  # letters; a longer token without odds of its own takes those of its stem, written "stem*"
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -71,8 +74,8 @@ def segments(scores: list[tuple[int, float]], n: int, drift: float = DRIFT) -> l
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], rate: float, curve: tuple[float, float]):
-        self.weights, self.rate, self.curve = weights, rate, curve
+    def __init__(self, weights: dict[str, float], rate: float, curve: tuple[float, float], k: float = 1.0):
+        self.weights, self.rate, self.curve, self.k = weights, rate, curve, k
         self.known: dict[str, float | None] = dict(weights)
 
     def weight(self, token: str) -> float | None:
@@ -85,18 +88,21 @@ class Model:
             w = self.known[token] = self.weights.get(f"{token[:STEM]}*") if len(token) > STEM else None
             return w
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
-        """(number of tokens, significant segments as (first token, end, score))."""
+    def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """(number of tokens, maximal segments as (first token, end, score))."""
         tokens = TOKEN.findall(text.lower()) if text else []
         marks = [(i, w - DRIFT) for i, w in enumerate(map(self.weight, tokens)) if w]
-        if not marks or not self.rate:
-            return len(tokens), []
-        least = math.log(K * len(tokens) / CHANCE) / self.rate
-        return len(tokens), [s for s in segments(marks, len(tokens)) if s[2] >= least]
+        return len(tokens), segments(marks, len(tokens)) if marks and self.rate else []
+
+    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
+        """(number of tokens, significant segments)."""
+        n, found = self.segments(text)
+        least = math.log(self.k * n / CHANCE) / self.rate if found else 0.0
+        return n, [s for s in found if s[2] >= least]
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         n, found = self.passages(text)
-        chance = math.log(K * max(n, 1))
+        chance = math.log(self.k * max(n, 1))
         return sum(self.rate * s - chance for _, _, s in found), len(found)
 
     def score(self, text: str | None) -> tuple[float, int]:
@@ -184,6 +190,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     rate = rate_of(scores, seen / seen.sum())
     model = Model(weights, rate, (0.0, 0.0))
 
+    def chance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = [model.segments(t) for t in part.column("text").to_pylist()]
+            many = [sum(rate * s >= LEVEL for _, _, s in segs) for _, segs in found]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array(many, pa.int64())], ["n", "many"])
+
+    by_chance = unique.where("toxic = 0").select("text").mapInArrow(chance, "n long, many long").agg(F.sum("n").alias("n"), F.sum("many").alias("many")).first()
+    model.k = (by_chance["many"] + 1) * math.exp(LEVEL) / by_chance["n"]
+
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([model.evidence(t)[0] for t in part.column("text").to_pylist()], pa.float64()), part.column("toxic").cast(pa.int32())], ["x", "toxic"])
