@@ -41,6 +41,7 @@ ROUNDS = 3
 COUNTERS = 1 << 18
 SPREAD = 0.25
 SLACK = 1e-6  # of rounding in sums of weights
+SLICE = 1_000_000  # bytes of texts in arrays at a time
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,7 +169,7 @@ def frequency_sketch(docs: DataFrame) -> Weights:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(COUNTERS, np.int64), 0
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             texts = [t for t in part.column("text").to_pylist() if t]
             n += len(texts)
             sums += np.bincount((shingles(texts)[1] >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
@@ -213,7 +214,7 @@ def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, com
     kind = texts.schema["class_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2_000_000):
+        for part in slices(batches, SLICE):
             text, shingle, total, rest = prefixes([t or "" for t in part.column("text").to_pylist()], weights.value, similar)
             yield pa.RecordBatch.from_arrays([part.column("class_id").take(pa.array(text)), pa.array(shingle.astype(np.int64)), pa.array(total), pa.array(rest)], ["class_id", "shingle", "total", "rest"])
 
@@ -242,7 +243,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     weights = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs))  # COUNTERS floats
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 2_000_000):
+        for part in slices(batches, SLICE):
             texts = [t or "" for t in part.column("text").to_pylist()]
             text, shingle, often = shingles(texts)
             bands: list = [None] * len(texts)
@@ -271,7 +272,7 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         return [(s[i:j], w[i:j]) for i, j in zip(at, at[1:])]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, SLICE):
             a, x, y = (part.column(c).to_pylist() for c in ("a", "x", "y"))
             fresh = [i for i in range(len(a)) if not i or a[i] != a[i - 1]]  # rows of one leader come together
             xs, ys = weighed([x[i] for i in fresh]), weighed(y)
