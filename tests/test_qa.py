@@ -47,6 +47,58 @@ def test_redundant_answers_fold(spark):
     assert got == {("c", 0): False, ("c", 1): True, ("c", 2): False, ("c", 3): False, ("d", 0): False}
 
 
+def test_numbering_of_many_rows_with_all_columns(spark):
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_000).alias("x"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"))
+    got = qa.numbered(df, ["x"], "n").agg(F.count("*"), F.countDistinct("n"), F.min("n"), F.max("n"), F.count_if(F.col("n") != F.col("x")), F.countDistinct("text")).first()
+    assert tuple(got) == (200_000, 200_000, 0, 199_999, 0, 200_000)
+
+
+def plain_validation(docs, frac, seed):
+    """The fold over all documents of one area, one by one."""
+    import hashlib
+
+    target, taken, out = sum(docs.values()) * frac, 0, set()
+    for d in sorted(docs, key=lambda d: (hashlib.md5(f"{seed}|{d}".encode()).hexdigest(), d)):
+        if taken >= target or (taken > 0 and taken + docs[d] > 2 * target):
+            continue
+        taken += docs[d]
+        out.add(d)
+    return out
+
+
+def test_validation_documents_against_the_fold(spark):
+    rng = random.Random(6)
+    areas = [{f"a{a}/{d}": rng.choice([1, 1, 2, 3, rng.randint(1, 60)]) for d in range(rng.choice([1, 2, 5, 30]))} for a in range(40)]
+    rows = [(d, i) for docs in areas for d, n in docs.items() for i in range(n)]
+    pairs = spark.createDataFrame(rows, "doc_id string, i int")
+    for frac, seed in ((0.1, 1), (0.3, 2)):
+        got = {r["doc_id"] for r in splitting.validation_documents(pairs, frac, seed).collect()}
+        assert got == set().union(*(plain_validation(docs, frac, seed) for docs in areas))
+
+
+def test_responses_to_outcomes(spark):
+    chunks = spark.createDataFrame([(f"d::{i}", "d", "crumb", f"text {i}") for i in range(6)], "chunk_id string, doc_id string, breadcrumb string, content string")
+    asked = qa.requests(chunks.withColumn("sample_ord", F.lit(0)), "s", "m", 2)
+    pair = '{"question": "What does the tool %d do here?", "answer": "It builds every package of the workspace in order."}'
+    raw = ['{"questions": [' + pair % 0 + ", " + pair % 1 + "]}", "no json", '{"suitable": false, "questions": []}', '{"questions": []}', '{"questions": [' + pair % 0 + "]}"]
+    keys = {r["chunk_id"]: r["cache_key"] for r in asked.collect()}
+    responses = spark.createDataFrame([(keys[f"d::{i}"], x) for i, x in enumerate(raw)], "cache_key string, raw string")
+    rows = qa.generated(asked, responses, chunks)
+    got = {(r["gold_chunk_id"], r["item_idx"], r["reason"]) for r in qa.gate(rows, ["gold_chunk_id", "item_idx"]).collect()}
+    assert got == {("d::0", 0, None), ("d::0", 1, "redundant_answer_same_chunk"), ("d::1", None, "unparseable_response"), ("d::2", None, "unsuitable_chunk"), ("d::4", 0, "duplicate_question")}
+    gated = qa.gate(rows, ["gold_chunk_id", "item_idx"])
+    assert qa.coverage(gated).first().asDict() == {"attempted": 4, "accepted": 1, "unsuitable": 1, "unparseable": 1, "docs": 1, "chunks": 1}
+    assert {r["outcome"]: r["share"] for r in qa.reject_report(gated).collect()}["unsuitable_chunk"] is None
+    assert qa.sample_report(chunks, chunks.limit(2), 3).first().asDict() == {"corpus_chunks": 6, "corpus_docs": 1, "sample_chunks": 2, "sample_docs": 1, "target_pairs": 6}
+
+
+def test_split_is_written_in_order(spark, tmp_path):
+    rows = splitting.split(make(spark, 40, 3, 4), 0.2, 1)
+    splitting.write_split(rows, str(tmp_path / "out"), 5)
+    got = spark.read.json(str(tmp_path / "out"))
+    assert got.count() == 120 and {r[0] for r in got.select("split").distinct().collect()} == {"train", "val"}
+
+
 def test_numbering_is_gapless(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert [(r["x"], r["n"]) for r in qa.numbered(df, ["x"], "n").orderBy("n").collect()] == [(i, i) for i in range(1000)]

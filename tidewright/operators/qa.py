@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import content_words, jaccard, normalize, strip
+from tidewright.sources.tables import staged
 
 # Phrases by which a question gives its source away, in order of precedence.
 BANNED = [
@@ -35,8 +36,9 @@ def sample_chunks(chunks: DataFrame, max_chunks: int | None, max_per_doc: int, s
 
 def numbered(df: DataFrame, order: list[str], name: str, partitions: int = 64) -> DataFrame:
     """A gapless number from 0 in the given order: range partitions are numbered on their own and
-    shifted by the rows before them, so no task sees all rows."""
-    ranged = df.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id())
+    shifted by the rows before them, so no task sees all rows. The parts are written once: bounds of a
+    second evaluation may differ, and its counts would not fit the ranks of the first."""
+    ranged = staged(df.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # one row a partition
     nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
@@ -91,9 +93,18 @@ def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def explode_pairs(parsed: DataFrame) -> DataFrame:
-    """One row a generated pair of a suitable chunk, with its place in the response."""
-    fit = parsed.where(F.coalesce("parsed.suitable", F.lit(False)))
-    return fit.select("*", F.posexplode("parsed.questions").alias("item_idx", "pair")).select("*", "pair.question", "pair.answer").drop("parsed", "pair")
+    """One row a generated pair of a suitable chunk, with its place in the response; one row with an
+    ``outcome`` instead for a response that can't be parsed or finds its chunk unsuitable."""
+    outcome = F.when(F.col("parsed").isNull(), "unparseable_response").when(~F.col("parsed.suitable"), "unsuitable_chunk")
+    marked = parsed.withColumn("outcome", outcome).withColumn("pairs", F.when(F.col("outcome").isNull(), F.col("parsed.questions"))).drop("parsed")
+    rows = marked.select("*", F.posexplode_outer("pairs").alias("item_idx", "pair")).where("outcome is not null or pair is not null")
+    return rows.select("*", "pair.question", "pair.answer").drop("pairs", "pair")
+
+
+def generated(asked: DataFrame, responses: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Pairs of the responses to ``asked``, each with its source chunk's columns; see explode_pairs."""
+    raw = answered(asked.select("cache_key", "chunk_id"), responses)
+    return explode_pairs(parse_responses(raw)).drop("raw", "cache_key").join(chunks, "chunk_id").withColumnRenamed("chunk_id", "gold_chunk_id")
 
 
 def longest_run(answer: str | None, content: str | None) -> float:
@@ -170,24 +181,40 @@ def redundant(pairs: DataFrame, key: str, order: str, threshold: float = REDUNDA
 
 
 def gate(pairs: DataFrame, order: list[str], key: str = "gold_chunk_id", item: str = "item_idx", max_overlap: float = MAX_OVERLAP) -> DataFrame:
-    """All gates in order, with one ``reason`` column: validation, first question, redundant answer."""
-    checked = validate(pairs, max_overlap)
-    once = first_questions(checked.where("reason is null"), order)
-    unique = redundant(once.where("first"), key, item)
-    names = [*pairs.columns, "overlap"]
-    return (
-        checked.where("reason is not null").select(*names, "reason")
-        .unionByName(once.where("not first").select(*names, F.lit("duplicate_question").alias("reason")))
-        .unionByName(unique.select(*names, F.when(F.col("redundant"), "redundant_answer").alias("reason")))
-    )
+    """All gates in order, with one ``reason`` column: an outcome that the pairs bring along, validation,
+    first question, redundant answer. Pairs are validated once and written; the gates then only add to
+    the reason."""
+    names = [*(c for c in pairs.columns if c != "outcome"), "overlap"]
+    brought = F.col("outcome") if "outcome" in pairs.columns else F.lit(None).cast("string")
+    checked = validate(pairs, max_overlap).withColumn("reason", F.coalesce(brought, F.col("reason")))
+    checked = staged(checked.withColumn("norm_q", normalize(F.col("question"))).select(*names, "norm_q", "reason"), "checked")
+    low = checked.where("reason is null").groupBy("norm_q").agg(F.min(F.struct(*order)).alias("low"))
+    later = F.col("reason").isNull() & (F.struct(*order) > F.col("low"))
+    once = checked.join(low, "norm_q", "left").withColumn("reason", F.when(later, "duplicate_question").otherwise(F.col("reason"))).drop("low", "norm_q")
+    unique = redundant(once.where("reason is null"), key, item)
+    return once.where("reason is not null").select(*names, "reason").unionByName(unique.select(*names, F.when(F.col("redundant"), "redundant_answer_same_chunk").alias("reason")))
 
 
 def reject_report(gated: DataFrame) -> DataFrame:
-    """Rows by outcome, most first, with their share."""
+    """Rows by outcome, most first, with their share of all attempts. An unsuitable chunk is an outcome
+    but no attempt."""
     counts = gated.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
-    return counts.crossJoin(gated.agg(F.count("*").alias("total"))).select("outcome", "n", F.round(F.col("n") / F.col("total"), 6).alias("share")).orderBy(F.desc("n"), "outcome")
+    tried = F.when(F.col("outcome") != "unsuitable_chunk", F.col("n"))
+    total = F.sum(tried).over(Window.partitionBy(F.lit(1)))  # one row an outcome
+    return counts.withColumn("share", F.round(tried / total, 6)).orderBy(F.desc("n"), "outcome")
 
 
 def coverage(gated: DataFrame) -> DataFrame:
-    ok = gated.where("reason is null")
-    return ok.agg(F.count("*").alias("accepted"), F.countDistinct("doc_id").alias("docs"), F.countDistinct("gold_chunk_id").alias("chunks"))
+    """One row: attempts, accepted pairs, unsuitable and unparseable responses, documents and chunks."""
+    ok = F.col("reason").isNull()
+    unfit = F.coalesce(F.col("reason") == "unsuitable_chunk", F.lit(False))
+    return gated.agg(
+        F.count_if(~unfit).alias("attempted"), F.count_if(ok).alias("accepted"), F.count_if(unfit).alias("unsuitable"), F.count_if(F.col("reason") == "unparseable_response").alias("unparseable"),
+        F.countDistinct(F.when(ok, F.col("doc_id"))).alias("docs"), F.countDistinct(F.when(ok, F.col("gold_chunk_id"))).alias("chunks"),
+    )
+
+
+def sample_report(chunks: DataFrame, sample: DataFrame, n: int) -> DataFrame:
+    """One row: chunks and documents of the corpus and of the sample, and the pairs to be asked for."""
+    of = lambda df, name: df.agg(F.count("*").alias(f"{name}_chunks"), F.countDistinct("doc_id").alias(f"{name}_docs"))
+    return of(chunks, "corpus").crossJoin(of(sample, "sample")).withColumn("target_pairs", F.col("sample_chunks") * n)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import DOMAIN_WORDS, STOPWORDS, normalize, top_dir, words
+from tidewright.sources.tables import staged
 
 HARD = ("shared_docs", "shared_chunks", "shared_questions")
 
@@ -17,19 +18,40 @@ def draw(seed: int, column: str):
 def validation_documents(pairs: DataFrame, val_frac: float, seed: int, area=None) -> DataFrame:
     """doc_id of the validation side. Per area, documents in drawn order are taken until the area's
     budget of pairs is met; one that would exceed twice the budget is passed over once something is
-    taken. Pairs shrink to one row a document before the fold."""
+    taken.
+
+    Only a document with more pairs than the whole budget can be passed over, and an area has fewer
+    than 1 / val_frac of those: they alone are folded in order. All others are taken as long as the
+    running sum before them, with the large ones taken so far, is below the budget; that sum comes from
+    those of ``draw``'s first three digits and of the documents of one such bin, so no task meets an area."""
     docs = pairs.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("area", top_dir(F.col("doc_id").cast("string")) if area is None else area)
-    one = F.struct(draw(seed, "doc_id").alias("draw"), "doc_id", "n")
-    target = F.sum("n") * F.lit(float(val_frac))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("taken"), F.array().cast(f"array<{kind}>").alias("docs"))
-    areas = docs.groupBy("area").agg(F.array_sort(F.collect_list(one)).alias("all"), target.alias("target"))
+    docs = docs.withColumn("area", F.struct("area"))  # compares as equal where null
+    docs = docs.withColumn("draw", draw(seed, "doc_id")).withColumn("bin", F.substring("draw", 1, 3))
+    budget = docs.groupBy("area").agg((F.sum("n") * F.lit(float(val_frac))).alias("target")).where("target > 0")
+    docs = staged(docs.join(budget, "area").withColumn("large", F.col("n") > F.col("target")), "split-documents")
+    small = F.when(~F.col("large"), F.col("n")).otherwise(0)
+    bins = docs.groupBy("area", "bin").agg(F.sum(small).alias("of"))  # 4096 an area
+    bins = bins.select("area", "bin", (F.sum("of").over(Window.partitionBy("area").orderBy("bin")) - F.col("of")).alias("upto"))
+    inside = F.sum(small).over(Window.partitionBy("area", "bin").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    placed = docs.withColumn("inside", F.coalesce(inside, F.lit(0))).join(bins, ["area", "bin"])
+    placed = staged(placed.select("area", "doc_id", "n", "draw", "large", "target", (F.col("upto") + F.col("inside")).alias("before")), "split-documents")
+
+    place = F.struct("draw", "doc_id")
+    one = F.struct("draw", "doc_id", "n", "before")
+    kind = placed.schema["doc_id"].dataType.simpleString()
+    start = F.array().cast(f"array<struct<draw: string, doc_id: {kind}, upto: bigint>>")
+    taken = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["upto"], F.lit(0))  # noqa: E731  pairs of large ones so far
+    large = placed.where("large").groupBy("area").agg(F.array_sort(F.collect_list(one)).alias("all"), F.first("target").alias("goal"))
     folded = F.aggregate(
         "all", start,
-        lambda acc, d: F.when((acc["taken"] >= F.col("target")) | ((acc["taken"] > 0) & (acc["taken"] + d["n"] > F.col("target") * 2)), acc)
-        .otherwise(F.struct((acc["taken"] + d["n"]).alias("taken"), F.array_append(acc["docs"], d["doc_id"]).alias("docs"))),
+        lambda acc, d: F.when((d["before"] + taken(acc) >= F.col("goal")) | ((d["before"] + taken(acc) > 0) & (d["before"] + taken(acc) + d["n"] > F.col("goal") * 2)), acc)
+        .otherwise(F.array_append(acc, F.struct(d["draw"].alias("draw"), d["doc_id"].alias("doc_id"), (taken(acc) + d["n"]).alias("upto")))),
     )
-    return areas.select(F.explode(folded["docs"]).alias("doc_id"))
+    large = large.select("area", folded.alias("picked"))
+    joined = placed.join(large, "area", "left").withColumn("picked", F.coalesce("picked", start))
+    earlier = F.filter("picked", lambda x: F.struct(x["draw"], x["doc_id"]) < place)
+    rest = F.col("before") + F.coalesce(F.array_max(F.transform(earlier, lambda x: x["upto"])), F.lit(0)) < F.col("target")
+    return joined.where(F.when(F.col("large"), F.exists("picked", lambda x: x["doc_id"] == F.col("doc_id"))).otherwise(rest)).select("doc_id")
 
 
 def split(pairs: DataFrame, val_frac: float = 0.1, seed: int = 42, area=None) -> DataFrame:
@@ -84,4 +106,5 @@ def write_split(rows: DataFrame, path: str, seed: int = 42) -> None:
     found = leakage(rows).first()
     if any(found[c] for c in HARD):
         raise ValueError("the split leaks: " + ", ".join(f"{c}={found[c]}" for c in HARD))
-    rows.repartition("split").sortWithinPartitions("split", draw(seed, "qa_id")).write.partitionBy("split").mode("overwrite").json(path)
+    order = ["split", draw(seed, "qa_id"), F.col("qa_id")]  # a side in order over its files, many tasks to a side
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("split").mode("overwrite").json(path)

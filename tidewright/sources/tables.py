@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,22 @@ SCHEMAS = {
 }
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once into the folder that the cluster names in spark.checkpoint.dir, and read
+    back, so that several uses see the same rows in the same parts. In local mode, as in tests, a folder
+    is made where none is set."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-tidewright-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, name: str, required: bool = False) -> DataFrame:
     """A table by its declared schema; ``required``: an empty one is an error."""
     df = spark.read.schema(SCHEMAS[name]).json(path)
