@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions import text as T
@@ -165,8 +165,20 @@ v AS (SELECT qa_id, doc_id, gold_chunk_id, item_idx, question, answer, CASE WHEN
   WHEN length(answer) < 30 THEN 'answer_too_short' {BANNED_SQL} WHEN {_contains('answer', qa.SOURCED)} THEN 'answer_references_source' WHEN {_contains('answer', qa.REFUSED)} THEN 'answer_is_refusal'
   WHEN len(aw) = 0 OR len(list_filter(range(1, len(aw) - (6 * len(aw)) // 10 + 1), lambda i: contains(cw, ' ' || array_to_string(aw[i:i + (6 * len(aw)) // 10], ' ') || ' '))) > 0 THEN 'answer_is_extraction' END AS reason FROM w)"""
 GATE_SQL = f"""{VALID_SQL},
-n AS (SELECT *, row_number() OVER (PARTITION BY {norm_sql('question')} ORDER BY doc_id, item_idx) AS k FROM v WHERE reason IS NULL),
-f AS (SELECT *, {words_sql('answer')} AS words, lag({words_sql('answer')}) OVER p AS w1, row_number() OVER p AS nth FROM n WHERE k = 1 WINDOW p AS (PARTITION BY doc_id ORDER BY item_idx))"""
+n AS (SELECT *, row_number() OVER (PARTITION BY {norm_sql('question')} ORDER BY doc_id, item_idx) AS k FROM v WHERE reason IS NULL)"""
+
+
+def fold_sql(rows: str) -> str:
+    """Tables o and r: whether an answer is like one kept before it in its document."""
+    return f"""o AS (SELECT qa_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx) AS nth, {words_sql('answer')} AS words FROM {rows}),
+r AS (SELECT doc_id, CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[][]) AS kept, CAST(NULL AS VARCHAR) AS qa_id, false AS redundant FROM o WHERE nth = 1
+UNION ALL SELECT o.doc_id, o.nth, CASE WHEN len(o.words) = 0 OR t.hit THEN r.kept ELSE list_append(r.kept, o.words) END, o.qa_id, t.hit FROM r JOIN o ON o.doc_id = r.doc_id AND o.nth = r.nth + 1,
+LATERAL (SELECT len(list_filter(r.kept, lambda k: len(o.words) > 0 AND len(list_intersect(k, o.words)) / len(list_distinct(list_concat(k, o.words))) >= 0.45)) > 0 AS hit) t)"""
+
+
+GATED_SQL = f"""WITH RECURSIVE {GATE_SQL}, {fold_sql('(SELECT * FROM n WHERE k = 1)')},
+g AS (SELECT qa_id, doc_id, gold_chunk_id, item_idx, reason FROM v WHERE reason IS NOT NULL UNION ALL SELECT qa_id, doc_id, gold_chunk_id, item_idx, 'duplicate_question' FROM n WHERE k > 1
+UNION ALL SELECT n.qa_id, n.doc_id, gold_chunk_id, item_idx, CASE WHEN redundant THEN 'redundant_answer_same_chunk' END FROM n JOIN r ON r.qa_id = n.qa_id WHERE k = 1)"""
 
 
 @query(f"WITH {VALID_SQL} SELECT qa_id, reason FROM v")
@@ -180,29 +192,23 @@ def question_dedup(spark, sf_dir):
     return qa.first_questions(checked, ["doc_id", "item_idx"]).select("qa_id", F.col("first").alias("is_first"))
 
 
-FOLD_SQL = f"""WITH RECURSIVE {QA_SQL}, o AS (SELECT qa_id, gold_chunk_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx) AS nth, {words_sql('answer')} AS words FROM qa),
-r AS (SELECT doc_id, CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[][]) AS kept, CAST(NULL AS VARCHAR) AS qa_id, false AS redundant FROM o WHERE nth = 1
-UNION ALL SELECT o.doc_id, o.nth, CASE WHEN len(o.words) = 0 OR t.hit THEN r.kept ELSE list_append(r.kept, o.words) END, o.qa_id, t.hit FROM r JOIN o ON o.doc_id = r.doc_id AND o.nth = r.nth + 1,
-LATERAL (SELECT len(list_filter(r.kept, lambda k: len(o.words) > 0 AND len(list_intersect(k, o.words)) / len(list_distinct(list_concat(k, o.words))) >= 0.45)) > 0 AS hit) t)
-SELECT qa_id, redundant FROM r WHERE nth > 0"""
-
-
-@query(FOLD_SQL)
+@query(f"WITH RECURSIVE {QA_SQL}, {fold_sql('qa')} SELECT qa_id, redundant FROM r WHERE nth > 0")
 def redundant_answers(spark, sf_dir):
     return qa.redundant(derive.qa(spark, sf_dir), "doc_id", "item_idx").select("qa_id", "redundant")
 
 
-@query()
+@query(f"{GATED_SQL} SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n, round(count(*) / (SELECT count(*) FROM g), 6) AS share FROM g GROUP BY 1")
 def reject_report(spark, sf_dir):
     return qa.reject_report(gated(spark, sf_dir))
 
 
-@query()
+@query(f"""{GATED_SQL} SELECT count(*) AS attempted, count(*) FILTER (reason IS NULL) AS accepted, CAST(0 AS BIGINT) AS unsuitable, CAST(0 AS BIGINT) AS unparseable,
+count(DISTINCT doc_id) FILTER (reason IS NULL) AS docs, count(DISTINCT gold_chunk_id) FILTER (reason IS NULL) AS chunks FROM g""")
 def qa_coverage(spark, sf_dir):
     return qa.coverage(gated(spark, sf_dir))
 
 
-@query()
+@query(f"{GATED_SQL} SELECT qa_id, doc_id, item_idx, row_number() OVER (ORDER BY doc_id, item_idx) - 1 AS ordinal FROM g WHERE reason IS NULL")
 def qa_numbering(spark, sf_dir):
     """Accepted pairs with their global ordinal."""
     ok = gated(spark, sf_dir).where("reason is null").select("qa_id", "doc_id", "item_idx")
@@ -259,22 +265,43 @@ def resume_requests(spark, sf_dir):
     return qa.unanswered(requests, cached).select("cache_key", "chunk_id", F.md5("user").alias("prompt_md5"))
 
 
-@query(f"""WITH {QA_SQL} SELECT qa_id, CASE WHEN area IN (4, 5) THEN NULL ELSE area <> 6 END AS suitable, CASE WHEN area IN (4, 5) THEN NULL ELSE question END AS question, CASE WHEN area IN (4, 5) THEN NULL WHEN area = 7 THEN 'None' ELSE answer END AS answer FROM qa""")
-def parse_responses(spark, sf_dir):
-    """Responses built from the pairs, plain and in the deviations that occur, and parsed back."""
-    pairs = derive.qa(spark, sf_dir)
+def responses(pairs: DataFrame) -> Column:
+    """Responses built from the pairs, plain and in the deviations that occur."""
     item = F.to_json(F.struct("question", F.when(F.col("area") != 7, F.col("answer")).alias("answer")), {"ignoreNullFields": "false"})
     whole = F.concat(F.lit('{"suitable": '), F.when(F.col("area") == 6, "false").otherwise("true"), F.lit(', "questions": ['), item, F.lit("]}"))
     bare = F.concat(F.lit('{"questions": ['), item, F.lit("]}"))
-    raw = (
+    return (
         F.when(F.col("area") == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(F.col("area") == 2, F.concat(F.lit("Here it is: "), whole, F.lit(" Done.")))
         .when(F.col("area") == 3, bare).when(F.col("area") == 4, F.expr("substring(question, 1, 9)")).when(F.col("area") == 5, F.lit("[]")).otherwise(whole)
     )
-    got = qa.parse_responses(pairs.select("qa_id", raw.alias("raw")))
+
+
+@query(f"""WITH {QA_SQL} SELECT qa_id, CASE WHEN area IN (4, 5) THEN NULL ELSE area <> 6 END AS suitable, CASE WHEN area IN (4, 5) THEN NULL ELSE question END AS question, CASE WHEN area IN (4, 5) THEN NULL WHEN area = 7 THEN 'None' ELSE answer END AS answer FROM qa""")
+def parse_responses(spark, sf_dir):
+    """Responses parsed back."""
+    pairs = derive.qa(spark, sf_dir)
+    got = qa.parse_responses(pairs.select("qa_id", responses(pairs).alias("raw")))
     first = F.get("parsed.questions", F.lit(0))
     return got.select("qa_id", F.col("parsed.suitable").alias("suitable"), first["question"].alias("question"), first["answer"].alias("answer"))
 
 
+@query(f"""WITH {QA_SQL} SELECT gold_chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN area IN (4, 5) THEN 'unparseable_response' WHEN area = 6 THEN 'unsuitable_chunk' END AS outcome, CASE WHEN area NOT IN (4, 5, 6) THEN md5(question) END AS question_md5, md5(content) AS content_md5 FROM qa""")
+def generated_pairs(spark, sf_dir):
+    """Requests answered, parsed and joined with their source chunks."""
+    pairs = derive.qa(spark, sf_dir)
+    chunks = pairs.select(F.col("gold_chunk_id").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("crumb").alias("breadcrumb"), "content")
+    own = qa.cache_key(F.col("gold_chunk_id"), MODEL, PER_CHUNK)
+    asked_ = qa.requests(chunks.withColumn("sample_ord", F.lit(0).cast("long")), SYSTEM, MODEL, PER_CHUNK)
+    rows = qa.generated(asked_, pairs.select(own.alias("cache_key"), responses(pairs).alias("raw")), chunks)
+    return rows.select("gold_chunk_id", "doc_id", "outcome", F.md5("question").alias("question_md5"), F.md5("content").alias("content_md5"))
+
+
+@query(f"""WITH {SAMPLE_SQL}, s AS (SELECT * FROM s2 WHERE sample_ord < 100) SELECT (SELECT count(*) FROM src) AS corpus_chunks, (SELECT count(DISTINCT doc_id) FROM src) AS corpus_docs, (SELECT count(*) FROM s) AS sample_chunks, (SELECT count(DISTINCT doc_id) FROM s) AS sample_docs, (SELECT count(*) FROM s) * {PER_CHUNK} AS target_pairs""")
+def sample_report(spark, sf_dir):
+    chunks = source_chunks(spark, sf_dir)
+    return qa.sample_report(chunks, qa.sample_chunks(chunks, 100, 2, SEED), PER_CHUNK)
+
+
 # -- splitting ------------------------------------------------------------------------------------
 
 SPLIT_SQL = f"""{QA_SQL},
