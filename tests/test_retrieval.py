@@ -64,6 +64,20 @@ def test_body_and_messages(spark):
     assert row["b"] == "one\n\ntwo" and [m["role"] for m in row["m"]] == ["system", "user"] and row["m"][1]["content"] == "q"
 
 
+def test_odd_query_vectors_have_no_hits(spark):
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "chunk_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [0.0, 1.0])], "query_id int, embedding array<double>")
+    assert {(r["query_id"], r["chunk_id"]) for r in R.top_k(index, asked, 1).collect()} == {(1, 1), (5, 2)}
+
+
+def test_encoder_prefix_and_model(spark):
+    df = spark.createDataFrame([("how is it built?",)], "question string")
+    seen = R.embed_queries(df, "question", R.hashed_words(16), "m", "m").first()["embedding"]
+    assert seen == R.hashed_words(16)([R.QUERY_PREFIX + "how is it built?"])[0].tolist()
+    with pytest.raises(ValueError):
+        R.embed_queries(df, "question", R.hashed_words(16), "m", "other")
+
+
 def test_training_rows(spark):
     pairs = spark.createDataFrame([(str(i), "q" * i, "abc") for i in range(5)], "qa_id string, question string, answer string")
     ex = training.examples(pairs, "s", 30).withColumn("global_idx", F.col("qa_id").cast("long"))

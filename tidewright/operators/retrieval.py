@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewright.functions.text import DOMAIN_WORDS, STOPWORDS, content_words, covered, dot, norm
 
@@ -54,8 +55,13 @@ def embed_queries(df: DataFrame, question: str, encoder, model: str, index_model
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", digits: int = 6) -> DataFrame:
     """query_id, rank, score, chunk: exact, by dot product; ties by key. Queries go out in blocks of
-    ``BLOCK``; each task returns k rows a query, which meet in one window over the query."""
+    ``BLOCK``; each task returns k rows a query, which meet in one window over the query. Query vectors
+    that are null, hold nulls or differ from most in length have no hits."""
     found = None
+    q_type, key_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, query_key), (index, key)))
+    full = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    dim = queries.where(full).groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    queries = queries.where(full & (F.size("embedding") == (dim["dim"] if dim else 0)))
     n = queries.count()
     blocks = max(1, -(-n // (BLOCK // 2)))
     for b in range(blocks):
@@ -83,7 +89,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", q
                 best = np.take_along_axis(score, order, 1), np.take_along_axis(owners, order, 1)
             if best is not None:
                 m = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, m)), pa.array(best[1].ravel()), pa.array(best[0].ravel())], [query_key, key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, m), q_type), pa.array(best[1].ravel(), key_type), pa.array(best[0].ravel())], [query_key, key, "score"])
 
         kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
         piece = index.select(key, "embedding").mapInArrow(part, kinds)
@@ -151,6 +157,11 @@ def pivot_answers(answers: DataFrame, by: str, mode: str, modes: list[str], *col
     return answers.groupBy(by).pivot(mode, modes).agg(*(F.first(c).alias(c) for c in columns))
 
 
+def first_pairs(qa: DataFrame, n: int | None, key: str = "qa_id") -> DataFrame:
+    """The first ``n`` pairs by key, for a trial evaluation; all without ``n``."""
+    return qa if n is None else qa.orderBy(key).limit(n)
+
+
 def gold_ranks(qa: DataFrame, hits: DataFrame, qa_key: str = "qa_id", gold: str = "gold_chunk_id", key: str = "chunk_id") -> DataFrame:
     """``qa`` with the rank of its gold chunk among its hits; null if missed."""
     found = hits.select(F.col("query_id").alias(qa_key), F.col(key).alias(gold), "rank").groupBy(qa_key, gold).agg(F.min("rank").alias("rank"))

@@ -1,7 +1,8 @@
 """Registered queries of the library's retrieval-data operators, with their SQL.
 
-Every query reads whole tables. ``QUERIES`` and ``ORACLES`` share keys; a query without SQL is held
-against a plain version in tests/.
+Every query reads whole tables. ``QUERIES`` and ``ORACLES`` share keys. Of the queries without SQL, the
+parser and the chunker are held against plain versions of their steps in tests/; clean_inline and
+embed_search only against literals and by their metrics.
 """
 
 from __future__ import annotations
@@ -225,9 +226,11 @@ def overlap_buckets(spark, sf_dir):
     return retrieval.overlap_gap(ranks)
 
 
-@query(f"WITH {QA_SQL} SELECT qa_id, doc_id FROM qa WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(f"WITH {QA_SQL} SELECT qa_id, doc_id FROM qa WHERE gold_chunk_id NOT IN (SELECT gold_chunk_id FROM qa WHERE contains(content, ', '))")
 def orphan_questions(spark, sf_dir):
-    return retrieval.orphans(derive.qa(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", "doc_id").select("qa_id", "doc_id")
+    """Questions whose gold chunk is not in an index of the chunks with a comma."""
+    pairs = derive.qa(spark, sf_dir)
+    return retrieval.orphans(pairs, pairs.where(F.contains("content", F.lit(", "))), "gold_chunk_id", "gold_chunk_id").select("qa_id", "doc_id")
 
 
 # -- sampling and requests ------------------------------------------------------------------------
@@ -349,9 +352,9 @@ def vocab_coverage(spark, sf_dir):
 # -- documents ------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {SECTIONS_SQL} SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_sections, count(*) FILTER (contains(text, '```')) AS with_code, sum(length(text)) AS total_chars, round(avg(length(text)), 6) AS mean_chars, CAST(floor(sum(length(text)) / 4) AS BIGINT) AS tokens FROM sections""")
+@query(f"""WITH {SECTIONS_SQL} SELECT count(DISTINCT doc_id) AS n_docs, count(*) AS n_sections, count(*) FILTER (contains(text, '```')) AS with_code, sum(length(text)) AS total_chars, round(avg(length(text)), 6) AS mean_chars, CAST(floor(sum(length(text)) / 4) AS BIGINT) AS tokens, (SELECT count(DISTINCT doc_id) FROM documents) AS n_files FROM sections""")
 def section_stats(spark, sf_dir):
-    return chunking.section_stats(derive.sections(spark, sf_dir)).withColumn("mean_chars", F.round("mean_chars", 6))
+    return chunking.section_stats(derive.sections(spark, sf_dir), table(spark, sf_dir, "documents")).withColumn("mean_chars", F.round("mean_chars", 6))
 
 
 @query()
@@ -361,7 +364,8 @@ def chunk_documents(spark, sf_dir):
 
 @query()
 def chunk_stats(spark, sf_dir):
-    return chunking.stats(chunking.chunk(derive.sections(spark, sf_dir)))
+    rows = derive.sections(spark, sf_dir)
+    return chunking.stats(chunking.cut(rows), rows)
 
 
 @query(f"""WITH {SECTIONS_SQL}, h AS (SELECT greatest(1, length(text) // 4) AS n_tokens FROM sections), o AS (SELECT n_tokens, row_number() OVER (ORDER BY n_tokens) - 1 AS i, count(*) OVER () AS n FROM h)

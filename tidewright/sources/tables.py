@@ -50,6 +50,11 @@ def write_jsonl(df: DataFrame, path: str, by: str | None = None) -> None:
     (df.write.partitionBy(by) if by else df.write).mode("overwrite").json(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report of one or a few rows, as one file of JSON lines."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """One question a line, trimmed, blank lines dropped."""
     return spark.read.text(path).select(strip(F.col("value")).alias("question")).where("question != ''")
