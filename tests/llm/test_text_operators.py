@@ -349,3 +349,21 @@ def test_containers_round_trip(spark):
     assert all(got[k]["error"] for k in (2, 3, 4, 5))
     texts = frame(spark, ODD)
     assert media.describe(media.wrap_texts(texts)).where("error is null").count() == len(ODD)
+
+
+def test_media_query_columns(spark):
+    import hashlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = media.op9_media_columns(spark, sf).collect()
+    assert len(rows) == len(texts)
+    same = defaultdict(set)
+    for r in rows:
+        own = texts[r["doc_id"]]
+        payload = own + b"\0" * (max(64, -(-len(own) // 64) * 64) - len(own))
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(own), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["media_bytes"] > len(payload) and len(r["media_sha256"]) == 64 and r["feature"]
+        same[own].add((r["media_bytes"], r["media_sha256"], r["feature"]))
+    assert all(len(v) == 1 for v in same.values())
