@@ -108,3 +108,18 @@ def test_questions_and_jsonl(spark, tmp_path):
     with pytest.raises(ValueError):
         tables.read_jsonl(spark, str(tmp_path / "j"), "gen_responses").limit(0).write.mode("overwrite").json(str(tmp_path / "e"))
         tables.read_jsonl(spark, str(tmp_path / "e"), "gen_responses", required=True)
+
+
+def test_blocks_of_queries_meet_all_blocks_of_the_index(spark):
+    rng = np.random.default_rng(3)
+    own = rng.integers(-3, 4, (150, 4)).astype(float)  # many ties
+    index = spark.createDataFrame([(f"c{i:03}", v.tolist()) for i, v in enumerate(own)] + [("none", None), ("short", [1.0])], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own[:53])] + [(99, None)], "query_id int, embedding array<float>")
+    got = {}
+    for block in (16, 1000):
+        got[block] = sorted(tuple(r) for r in R.top_k(index, asked, 7, block=block).select("query_id", "rank", "chunk_id", "score").collect())
+    want = []
+    for i in range(53):
+        best = sorted((-float(own[i] @ v), f"c{j:03}") for j, v in enumerate(own))[:7]
+        want += [(i, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert got[16] == got[1000] == sorted(want)

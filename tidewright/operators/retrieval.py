@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewright.functions.text import DOMAIN_WORDS, STOPWORDS, content_words, covered, dot, norm
+from tidewright.sources.tables import staged
 
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "  # fixed: the encoder was trained with it
-BLOCK = 8_192
+BLOCK = 4_096  # queries, or vectors of the index, that meet in a task
 JOINT = "\n\n---\n\n"
 GROUNDED = "Answer from the numbered excerpts. Copy commands, names and paths exactly. Where the excerpts do not cover the question, say so first."
 PLAIN = "Answer questions about the documentation precisely."
@@ -53,49 +54,72 @@ def embed_queries(df: DataFrame, question: str, encoder, model: str, index_model
     return embed(df, F.concat(F.lit(QUERY_PREFIX), F.col(question)), encoder)
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", digits: int = 6) -> DataFrame:
-    """query_id, rank, score, chunk: exact, by dot product; ties by key. Queries go out in blocks of
-    ``BLOCK``; each task returns k rows a query, which meet in one window over the query. Query vectors
-    that are null, hold nulls or differ from most in length have no hits."""
-    found = None
+def best_matches(q: np.ndarray, batches, k: int, digits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(scores, keys), k a query, of all (key, vector) batches; None without a vector of that length."""
+    best: tuple | None = None
+    for batch in batches:
+        batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column(1)), q.shape[1]))
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
+        score = np.round(q @ x.T, digits)
+        owners = np.broadcast_to(ids, score.shape)
+        if best is not None:
+            score, owners = np.concatenate([best[0], score], 1), np.concatenate([best[1], owners], 1)
+        order = np.lexsort((owners, -score), axis=1)[:, :k]
+        best = np.take_along_axis(score, order, 1), np.take_along_axis(owners, order, 1)
+    return best
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", digits: int = 6, block: int = BLOCK) -> DataFrame:
+    """query_id, rank, score, chunk: exact, by dot product; ties by key. Up to ``block`` queries are
+    broadcast to the index. More of them are dealt into blocks, as is the index, and each block of the one
+    meets each of the other in a task, so neither the driver nor a task sees all. A task returns k rows a
+    query, which meet in one window over the query. Query vectors that are null, hold nulls or differ from
+    most in length have no hits."""
     q_type, key_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, query_key), (index, key)))
     full = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
     dim = queries.where(full).groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    queries = queries.where(full & (F.size("embedding") == (dim["dim"] if dim else 0)))
-    n = queries.count()
-    blocks = max(1, -(-n // (BLOCK // 2)))
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        rows = own.select(query_key, "embedding").collect()
-        if not rows:
-            continue
-        q_ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
-        shared = index.sparkSession.sparkContext.broadcast((q_ids, q))
+    queries = queries.where(full & (F.size("embedding") == (dim["dim"] if dim else 0))).select(query_key, "embedding")
+    index = index.select(key, "embedding")
+    kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
 
-        def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q = shared.value
-            best: tuple | None = None
-            for batch in batches:
-                batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column(1)), q.shape[1]))
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
-                score = np.round(q @ x.T, digits)
-                owners = np.broadcast_to(ids, score.shape)
-                if best is not None:
-                    score, owners = np.concatenate([best[0], score], 1), np.concatenate([best[1], owners], 1)
-                order = np.lexsort((owners, -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, 1), np.take_along_axis(owners, order, 1)
-            if best is not None:
-                m = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, m), q_type), pa.array(best[1].ravel(), key_type), pa.array(best[0].ravel())], [query_key, key, "score"])
+    def rows_of(q_ids, best: tuple | None) -> dict[str, pa.Array]:
+        score, owners = best if best is not None else (np.empty((0, 0)), np.empty((0, 0)))
+        many = np.repeat(q_ids, score.shape[1]) if best is not None else []
+        return {query_key: pa.array(many, q_type), key: pa.array(owners.ravel(), key_type), "score": pa.array(score.ravel(), pa.float64())}
 
-        kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
-        piece = index.select(key, "embedding").mapInArrow(part, kinds)
-        found = piece if found is None else found.unionByName(piece)
-    if found is None:
+    rows = queries.limit(block + 1).collect()
+    if not rows:
         found = queries.select(query_key).join(index.select(key).limit(0)).withColumn("score", F.lit(0.0)).limit(0)
+    elif len(rows) <= block:
+        shared = index.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)))
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q = shared.value
+            best = best_matches(q, batches, k, digits)
+            if best is not None:
+                yield pa.RecordBatch.from_pydict(rows_of(q_ids, best))
+
+        found = index.mapInArrow(part, kinds)
+    else:
+        # written once, so a lost task meets the same blocks again
+        dealt, held = (staged(df.withColumn("row", F.monotonically_increasing_id()), name) for df, name in ((queries, "queries"), (index, "index")))
+        n_q, n_i = (max(1, -(-df.count() // block)) for df in (dealt, held))
+
+        def meet(own: pa.Table, others: pa.Table) -> pa.Table:
+            if not own.num_rows or not others.num_rows:
+                return pa.table(rows_of([], None))
+            own = own.combine_chunks()
+            q = own.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, -1)
+            best = best_matches(q, others.select([key, "embedding"]).to_batches(max_chunksize=1024), k, digits)
+            return pa.table(rows_of(own.column(query_key).to_numpy(), best))
+
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        left = dealt.select(query_key, "embedding", F.pmod("row", F.lit(n_q)).cast("int").alias("q_block"), every(n_i).alias("i_block"))
+        right = held.select(key, "embedding", F.pmod("row", F.lit(n_i)).cast("int").alias("i_block"), every(n_q).alias("q_block"))
+        found = left.groupBy("q_block", "i_block").cogroup(right.groupBy("q_block", "i_block")).applyInArrow(meet, kinds)
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
