@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_bpe_tree
 from .langid import op8_nearest_centroid_language
 from .media import op9_media_columns
+from . import merkle
+from .merkle import op12_merkle_manifest
 from .neardup import op5_weighted_minhash
 from .neighbours import op6_multi_index_hashing
 from .packing import op7_best_fit_packing
@@ -17,6 +19,6 @@ from .secret_scan import op2_guess_cost_secrets
 from .sharding import op1_kd_sharding
 from .toxicity import op4_toxic_segments
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_sharding, op2_guess_cost_secrets, op3_partial_matching, op4_toxic_segments, op5_weighted_minhash, op6_multi_index_hashing, op7_best_fit_packing, op8_nearest_centroid_language, op9_media_columns, op10_bpe_tree)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_kd_sharding, op2_guess_cost_secrets, op3_partial_matching, op4_toxic_segments, op5_weighted_minhash, op6_multi_index_hashing, op7_best_fit_packing, op8_nearest_centroid_language, op9_media_columns, op10_bpe_tree, op12_merkle_manifest)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_merkle_manifest": merkle.ORACLE}
