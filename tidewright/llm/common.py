@@ -22,6 +22,12 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
+#: DuckDB: the same checksum of the ASCII text ``{x}``.
+CRC_SQL = """list_reduce(list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, i, 1)) AS BIGINT)), lambda c, b:
+  list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(c, b)), 4294967295)"""
+CRC_SQL = f"xor({CRC_SQL}, 4294967295)"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set, in local mode, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

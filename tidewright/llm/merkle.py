@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import CRC_SQL, materialise, table
 from .placing import matched, placed
 
 ARITY, HEIGHT = 3, 5
@@ -122,11 +122,6 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-CRC_SQL = """list_reduce(list_transform(range(1, length({x}) + 1), lambda i: CAST(ascii(substr({x}, i, 1)) AS BIGINT)), lambda c, b:
-  list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, xor(c, b)), 4294967295)"""
-CRC_SQL = f"xor({CRC_SQL}, 4294967295)"
-
-
 def field_sql(c: str, value: str | None = None) -> str:
     v = value or f"CAST({c} AS VARCHAR)"
     return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END"
