@@ -78,7 +78,7 @@ def test_validation_documents_against_the_fold(spark):
 
 def test_responses_to_outcomes(spark):
     chunks = spark.createDataFrame([(f"d::{i}", "d", "crumb", f"text {i}") for i in range(6)], "chunk_id string, doc_id string, breadcrumb string, content string")
-    asked = qa.requests(chunks.withColumn("sample_ord", F.lit(0)), "s", "m", 2)
+    asked = qa.requests(chunks.withColumn("sample_ord", F.substring_index("chunk_id", "::", -1).cast("long")), "s", "m", 2)
     pair = '{"question": "What does the tool %d do here?", "answer": "It builds every package of the workspace in order."}'
     raw = ['{"questions": [' + pair % 0 + ", " + pair % 1 + "]}", "no json", '{"suitable": false, "questions": []}', '{"questions": []}', '{"questions": [' + pair % 0 + "]}"]
     keys = {r["chunk_id"]: r["cache_key"] for r in asked.collect()}
@@ -92,6 +92,43 @@ def test_responses_to_outcomes(spark):
     assert qa.sample_report(chunks, chunks.limit(2), 3).first().asDict() == {"corpus_chunks": 6, "corpus_docs": 1, "sample_chunks": 2, "sample_docs": 1, "target_pairs": 6}
 
 
+def test_pairs_of_responses_in_sample_order(spark):
+    chunks = spark.createDataFrame([(f"d{i % 3}::{i}", f"d{i % 3}", "A > B", "u", f"text {i}", i % 2 == 0) for i in range(9)], "chunk_id string, doc_id string, breadcrumb string, url string, content string, has_code boolean")
+    sample = qa.sample_chunks(chunks, None, 9, 4)
+    assert sorted(r["sample_ord"] for r in sample.collect()) == list(range(9))
+    order = {r["chunk_id"]: r["sample_ord"] for r in sample.collect()}
+    asked = qa.requests(sample, "s", "m", 2)
+    said = '{"questions": [{"question": " What does number %s do in here?  ", "answer": "\\tIt is the step that builds part %s of all."}, {"question": "What is the common question of all?", "answer": "Each chunk %s answers it in words of its own, %s."}]}'
+    raw = [(r["cache_key"], said % ((r["chunk_id"],) * 4), v) for r in asked.collect() for v in (1,)]
+    raw += [(raw[0][0], "not the latest", 0), (raw[1][0], "zzz", None)]
+    responses = spark.createDataFrame(raw, "cache_key string, raw string, at int")
+    rows = qa.generated(asked, responses, chunks, latest="at")
+    out = qa.qa_pairs(qa.gate(rows.repartition(5), ["sample_ord", "item_idx"]), "p").collect()
+    first = min(order, key=order.get)
+    assert len(out) == 10 and {r["provider"] for r in out} == {"p"} and {r["model"] for r in out} == {"m"}
+    by = sorted(out, key=lambda r: int(r["qa_id"].rpartition("::q")[2]))
+    assert [int(r["qa_id"].rpartition("::q")[2]) for r in by] == list(range(10)) and all(r["qa_id"].startswith(r["gold_chunk_id"] + "::q") for r in by)
+    assert [order[r["gold_chunk_id"]] for r in by] == sorted(order[r["gold_chunk_id"]] for r in by)
+    assert [r["gold_chunk_id"] for r in by if "common" in r["question"]] == [first]
+    assert all(r["question"] == r["question"].strip() and r["answer"] == r["answer"].strip() for r in by)
+    # as the split's tests on these rows
+    split = splitting.split(spark.createDataFrame(out), 0.3, 1).collect()
+    assert len(split) == 10 == len({r["qa_id"] for r in split})
+    assert {(r["qa_id"], r["split"]) for r in splitting.split(spark.createDataFrame(out), 0.3, 1).collect()} == {(r["qa_id"], r["split"]) for r in split}
+
+
+def test_without_a_latest_the_response_is_still_one(spark):
+    asked = spark.createDataFrame([("k",)], "cache_key string")
+    responses = spark.createDataFrame([("k", x) for x in "cab"], "cache_key string, raw string")
+    assert {qa.answered(asked, responses.repartition(n)).first()["raw"] for n in (1, 2, 3)} == {"a"}
+
+
+def test_numbering_leaves_other_columns_alone(spark):
+    df = spark.range(500).select("id", *(F.col("id").alias(c) for c in ("part", "nth", "before", "count")))
+    rows = qa.numbered(df, ["id"], "n").collect()
+    assert all(r["n"] == r["id"] == r["part"] == r["nth"] == r["before"] == r["count"] for r in rows) and len(rows) == 500
+
+
 def test_split_is_written_in_order(spark, tmp_path):
     rows = splitting.split(make(spark, 40, 3, 4), 0.2, 1)
     splitting.write_split(rows, str(tmp_path / "out"), 5)

@@ -123,3 +123,53 @@ def test_blocks_of_queries_meet_all_blocks_of_the_index(spark):
         best = sorted((-float(own[i] @ v), f"c{j:03}") for j, v in enumerate(own))[:7]
         want += [(i, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     assert got[16] == got[1000] == sorted(want)
+
+
+def slow_encoder():
+    """Loads as a model would: says so in a folder named in the environment."""
+    import os
+    import uuid
+
+    open(os.path.join("/tmp", f"tidewright-loads-{os.environ.get('LOADS', 'x')}", f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+    sizes = []
+
+    def encode(texts):
+        sizes.append(len(texts) * (max(map(len, texts)) // 4 + 1))
+        assert sizes[-1] <= 64 or len(texts) == 1
+        return R.hashed_words()(texts)
+
+    return encode
+
+
+def test_an_encoder_is_loaded_once_a_worker(spark, monkeypatch):
+    import os
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(__import__("sys").modules[__name__])
+    monkeypatch.setenv("LOADS", "x")
+    folder = "/tmp/tidewright-loads-x"
+    os.makedirs(folder, exist_ok=True)
+    before = set(os.listdir(folder))
+    df = spark.range(400).select("id", F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text")).repartition(40)
+    got = R.embed(df, F.col("text"), factory=slow_encoder)
+    want = {r["id"]: r["embedding"] for r in R.embed(df, F.col("text"), R.hashed_words()).collect()}
+    assert {r["id"]: r["embedding"] for r in got.collect()} == want
+    fresh = [f for f in os.listdir(folder) if f not in before]
+    assert fresh and len(fresh) == len({f.split("-")[0] for f in fresh})  # 40 tasks, one load a process
+
+
+def test_gold_ranks_of_encoded_questions_against_all_pairs(spark):
+    import duckdb
+
+    chunks = spark.createDataFrame([(i, f"alpha w{i % 7} w{i} beta w{i * 3}") for i in range(60)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(i, f"w{i} beta" if i % 4 else "nothing known", i) for i in range(0, 60, 2)], "qa_id long, question string, gold_chunk_id long")
+    index = R.embed(chunks, F.col("content"), R.hashed_words())
+    queries = R.embed(asked.select(F.col("qa_id").alias("query_id"), "question"), F.col("question"), R.hashed_words())
+    got = sorted((r["qa_id"], r["rank"]) for r in R.gold_ranks(asked, R.top_k(index, queries, 10)).collect())
+    con = duckdb.connect()
+    for name, df in (("i", index), ("q", queries), ("a", asked)):
+        con.register(name, df.toArrow())
+    want = con.sql("""WITH s AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6) DESC, chunk_id) AS rank FROM q, i)
+      SELECT qa_id, CASE WHEN rank <= 10 THEN rank END FROM a JOIN s ON query_id = qa_id AND chunk_id = gold_chunk_id""").fetchall()
+    assert got == sorted(want)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import content_words, jaccard, normalize, strip
+from tidewright.functions.text import content_words, normalize, strip
+from tidewright.operators import redundancy
 from tidewright.sources.tables import staged
 
 # Phrases by which a question gives its source away, in order of precedence.
@@ -25,24 +26,26 @@ PARSED = "struct<suitable: boolean, questions: array<struct<question: string, an
 
 def sample_chunks(chunks: DataFrame, max_chunks: int | None, max_per_doc: int, seed: int) -> DataFrame:
     """At most ``max_per_doc`` chunks a document, those with code first, then ``max_chunks`` in an order
-    that depends on the seed alone; sample_ord numbers them from 0."""
+    that depends on the seed alone; sample_ord numbers them from 0. All of them without ``max_chunks``."""
     first, second = (F.md5(F.concat_ws("|", F.lit(str(seed + k)), F.col("chunk_id").cast("string"))) for k in (0, 1))
     by = Window.partitionBy("doc_id").orderBy(F.desc("has_code"), first, "chunk_id")
     picked = chunks.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= max_per_doc).drop("nth").withColumn("draw", second)
-    if max_chunks is None:
-        return picked
-    return numbered(picked.orderBy("draw", "chunk_id").limit(max_chunks), ["draw", "chunk_id"], "sample_ord").drop("draw")
+    if max_chunks is not None:
+        picked = picked.orderBy("draw", "chunk_id").limit(max_chunks)
+    return numbered(picked, ["draw", "chunk_id"], "sample_ord").drop("draw")
 
 
 def numbered(df: DataFrame, order: list[str], name: str, partitions: int = 64) -> DataFrame:
     """A gapless number from 0 in the given order: range partitions are numbered on their own and
     shifted by the rows before them, so no task sees all rows. The parts are written once: bounds of a
-    second evaluation may differ, and its counts would not fit the ranks of the first."""
-    ranged = staged(df.repartitionByRange(partitions, *order).withColumn("part", F.spark_partition_id()), "ranged")
-    counts = ranged.groupBy("part").count()
-    before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # one row a partition
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    return ranged.withColumn("nth", nth).join(F.broadcast(before), "part").withColumn(name, (F.col("before") + F.col("nth")).cast("long")).drop("part", "nth", "before")
+    second evaluation may differ, and its counts would not fit the ranks of the first. Columns of the
+    frame keep their names, whatever they are."""
+    part, nth, before, n = (f"_{name}_{x}" for x in ("part", "nth", "before", "n"))
+    ranged = staged(df.repartitionByRange(partitions, *order).withColumn(part, F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(part).agg(F.count("*").alias(n))
+    shift = counts.select(part, (F.sum(n).over(Window.orderBy(part)) - F.col(n)).alias(before))  # one row a partition
+    own = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
+    return ranged.withColumn(nth, own).join(F.broadcast(shift), part).withColumn(name, (F.col(before) + F.col(nth)).cast("long")).drop(part, nth, before)
 
 
 def cache_key(chunk_id: Column, model: str, n: int) -> Column:
@@ -59,8 +62,11 @@ def unanswered(asked: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(responses.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
-def answered(asked: DataFrame, responses: DataFrame) -> DataFrame:
-    return asked.join(responses.dropDuplicates(["cache_key"]), "cache_key")
+def answered(asked: DataFrame, responses: DataFrame, latest: str | None = None) -> DataFrame:
+    """Requests with their response. Of several responses of one key that with the greatest ``latest``
+    counts, and of those, or without it, the least text."""
+    one = F.min("raw") if latest is None else F.max_by("raw", F.struct(latest, F.hex("raw")))
+    return asked.join(responses.groupBy("cache_key").agg(one.alias("raw")), "cache_key")
 
 
 def tolerant(raw: str | None) -> tuple[bool, list[tuple[str, str]]] | None:
@@ -101,10 +107,20 @@ def explode_pairs(parsed: DataFrame) -> DataFrame:
     return rows.select("*", "pair.question", "pair.answer").drop("pairs", "pair")
 
 
-def generated(asked: DataFrame, responses: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs of the responses to ``asked``, each with its source chunk's columns; see explode_pairs."""
-    raw = answered(asked.select("cache_key", "chunk_id"), responses)
-    return explode_pairs(parse_responses(raw)).drop("raw", "cache_key").join(chunks, "chunk_id").withColumnRenamed("chunk_id", "gold_chunk_id")
+def generated(asked: DataFrame, responses: DataFrame, chunks: DataFrame, latest: str | None = None) -> DataFrame:
+    """Pairs of the responses to ``asked``, each with its request's sample_ord and its source chunk's
+    columns; see explode_pairs."""
+    raw = answered(asked.select("cache_key", "chunk_id", "sample_ord", "model"), responses, latest)
+    rows = explode_pairs(parse_responses(raw)).drop("raw", "cache_key")
+    return rows.join(chunks.drop("sample_ord", "model"), "chunk_id").withColumnRenamed("chunk_id", "gold_chunk_id")
+
+
+def qa_pairs(gated: DataFrame, provider: str) -> DataFrame:
+    """The accepted pairs of ``gated`` as the table of pairs, numbered through in order of the sample and
+    of the response: qa_id is the chunk's id with the pair's number."""
+    ok = numbered(gated.where("reason is null"), ["sample_ord", "item_idx", "gold_chunk_id"], "ordinal")
+    qa_id = F.concat(F.col("gold_chunk_id").cast("string"), F.lit("::q"), F.col("ordinal").cast("string"))
+    return ok.select(qa_id.alias("qa_id"), strip(F.col("question")).alias("question"), strip(F.col("answer")).alias("answer"), *(F.col(c).cast("string").alias(c) for c in ("gold_chunk_id", "doc_id", "breadcrumb", "url")), F.lit(provider).alias("provider"), "model")
 
 
 def longest_run(answer: str | None, content: str | None) -> float:
@@ -164,35 +180,36 @@ def first_questions(valid: DataFrame, order: list[str]) -> DataFrame:
     return keyed.join(low, "norm_q").withColumn("first", F.struct(*order) == F.col("low")).drop("low")
 
 
+def redundant_rows(rows: DataFrame, key: str, order: str, threshold: float = REDUNDANT) -> DataFrame:
+    """_row of the redundant among written ``rows`` (_row, answer, key, order)."""
+    at = F.struct(F.col(order), F.xxhash64("answer"), F.col("_row"))
+    items = rows.select(F.col(key).alias("key"), at.alias("at"), F.col("_row").alias("id"), content_words(F.col("answer")).alias("words"))
+    return redundancy.greedy(items, threshold).select(F.col("id").alias("_row"), F.lit(True).alias("_gone"))
+
+
 def redundant(pairs: DataFrame, key: str, order: str, threshold: float = REDUNDANT) -> DataFrame:
     """Adds ``redundant``: whether an answer's content words are like those of an answer kept before it
-    in the same chunk. One fold over the answers of a chunk, which are few."""
-    item = F.struct(F.col(order).alias("ord"), content_words(F.col("answer")).alias("words"))
-    empty = F.array().cast("array<struct<ord: int, words: array<string>>>")
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.struct(empty.alias("kept"), F.array().cast("array<int>").alias("out")),
-        lambda acc, x: F.when(F.exists(acc["kept"], lambda k: (F.size(x["words"]) > 0) & (jaccard(x["words"], k["words"]) >= threshold)), F.struct(acc["kept"].alias("kept"), F.array_append(acc["out"], x["ord"]).alias("out")))
-        .when(F.size(x["words"]) == 0, acc)
-        .otherwise(F.struct(F.array_append(acc["kept"], x).alias("kept"), acc["out"].alias("out"))),
-    )
-    marks = pairs.withColumn(order, F.col(order).cast("int")).groupBy(key).agg(folded["out"].alias("out"))
-    return pairs.join(marks, key).withColumn("redundant", F.array_contains("out", F.col(order).cast("int"))).drop("out")
+    in the same chunk (a null key is a chunk too). Ties of the order go by the answer. See
+    ``redundancy.greedy`` for chunks of any size."""
+    rows = staged(pairs.withColumn("_row", F.monotonically_increasing_id()), "pairs")
+    marks = redundant_rows(rows, key, order, threshold)
+    return rows.join(marks, "_row", "left").withColumn("redundant", F.coalesce("_gone", F.lit(False))).drop("_row", "_gone")
 
 
 def gate(pairs: DataFrame, order: list[str], key: str = "gold_chunk_id", item: str = "item_idx", max_overlap: float = MAX_OVERLAP) -> DataFrame:
     """All gates in order, with one ``reason`` column: an outcome that the pairs bring along, validation,
     first question, redundant answer. Pairs are validated once and written; the gates then only add to
-    the reason."""
+    the reason. ``order``: of all pairs, by which the first of equal questions is found."""
     names = [*(c for c in pairs.columns if c != "outcome"), "overlap"]
     brought = F.col("outcome") if "outcome" in pairs.columns else F.lit(None).cast("string")
-    checked = validate(pairs, max_overlap).withColumn("reason", F.coalesce(brought, F.col("reason")))
-    checked = staged(checked.withColumn("norm_q", normalize(F.col("question"))).select(*names, "norm_q", "reason"), "checked")
-    low = checked.where("reason is null").groupBy("norm_q").agg(F.min(F.struct(*order)).alias("low"))
-    later = F.col("reason").isNull() & (F.struct(*order) > F.col("low"))
-    once = checked.join(low, "norm_q", "left").withColumn("reason", F.when(later, "duplicate_question").otherwise(F.col("reason"))).drop("low", "norm_q")
-    unique = redundant(once.where("reason is null"), key, item)
-    return once.where("reason is not null").select(*names, "reason").unionByName(unique.select(*names, F.when(F.col("redundant"), "redundant_answer_same_chunk").alias("reason")))
+    checked = validate(pairs, max_overlap).withColumn("reason", F.coalesce(brought, F.col("reason"))).withColumn("_norm", normalize(F.col("question")))
+    checked = staged(checked.select(*names, "_norm", "reason", F.monotonically_increasing_id().alias("_row")), "checked")
+    low = checked.where("reason is null").groupBy("_norm").agg(F.min(F.struct(*order, "_row")).alias("_low"))
+    later = F.col("reason").isNull() & (F.struct(*order, "_row") > F.col("_low"))
+    once = checked.join(low, "_norm", "left").withColumn("reason", F.when(later, "duplicate_question").otherwise(F.col("reason"))).drop("_low", "_norm")
+    marks = redundant_rows(staged(once.where("reason is null").select("_row", "answer", *{key, item}), "firsts"), key, item)
+    again = F.when(F.col("reason").isNull() & F.col("_gone"), "redundant_answer_same_chunk")
+    return once.join(marks, "_row", "left").withColumn("reason", F.coalesce("reason", again)).select(*names, "reason")
 
 
 def reject_report(gated: DataFrame) -> DataFrame:

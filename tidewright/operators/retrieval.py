@@ -37,21 +37,53 @@ def hashed_words(dim: int = 256) -> Callable[[list[str]], np.ndarray]:
     return encode
 
 
-def embed(df: DataFrame, text: Column, encoder: Callable[[list[str]], np.ndarray]) -> DataFrame:
-    """Adds ``embedding``. Rows of a partition are sorted by length first, so batches are even."""
+_LOADED: dict = {}
+
+
+def loaded(factory: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[list[str]], np.ndarray]:
+    """The factory's encoder, made once in this worker process, whatever the number of its tasks."""
+    key = getattr(factory, "key", None) or (factory.__module__, factory.__qualname__)
+    if key not in _LOADED:
+        _LOADED[key] = factory()
+    return _LOADED[key]
+
+
+def batches_of(texts: list[str], budget: int) -> Iterator[list[str]]:
+    """Runs of texts of up to ``budget`` tokens as an encoder pads them: rows by the longest row."""
+    held: list[str] = []
+    longest = 0
+    for t in texts:
+        longest = max(longest, len(t) // 4 + 1)
+        if held and longest * (len(held) + 1) > budget:
+            yield held
+            held, longest = [], len(t) // 4 + 1
+        held.append(t)
+    if held:
+        yield held
+
+
+def embed(df: DataFrame, text: Column, encoder: Callable[[list[str]], np.ndarray] | None = None, factory: Callable[[], Callable] | None = None, budget: int = 16_384) -> DataFrame:
+    """Adds ``embedding``. Rows of a partition are sorted by length first, and go to the encoder in batches of
+    ``budget`` tokens as padded, so batches are even and their memory is bounded. ``factory``, a module's function
+    without arguments (or with an attribute ``key``), makes the encoder once a worker process: for models
+    that take long to load; ``encoder`` is sent along with each task."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = loaded(factory) if factory else encoder
         for s in batches:
-            yield pd.Series(list(encoder(s.fillna("").tolist())))
+            out: list = []
+            for part in batches_of(s.fillna("").tolist(), budget):
+                out += list(encode(part))
+            yield pd.Series(out)
 
     vector = F.pandas_udf(run, "array<float>")
-    return df.withColumn("own", text).sortWithinPartitions(F.length("own")).withColumn("embedding", vector("own")).drop("own")
+    return df.withColumn("_own", text).sortWithinPartitions(F.length("_own")).withColumn("embedding", vector("_own")).drop("_own")
 
 
-def embed_queries(df: DataFrame, question: str, encoder, model: str, index_model: str) -> DataFrame:
+def embed_queries(df: DataFrame, question: str, encoder, model: str, index_model: str, factory=None) -> DataFrame:
     if model != index_model:
         raise ValueError(f"the index was encoded with {index_model}, the queries would be with {model}")
-    return embed(df, F.concat(F.lit(QUERY_PREFIX), F.col(question)), encoder)
+    return embed(df, F.concat(F.lit(QUERY_PREFIX), F.col(question)), encoder, factory)
 
 
 def best_matches(q: np.ndarray, batches, k: int, digits: int) -> tuple[np.ndarray, np.ndarray] | None:

@@ -55,13 +55,9 @@ def validation_documents(pairs: DataFrame, val_frac: float, seed: int, area=None
 
 
 def split(pairs: DataFrame, val_frac: float = 0.1, seed: int = 42, area=None) -> DataFrame:
-    """Adds ``split``; every pair gets one. Write with partitionBy("split"), ordered by shuffled()."""
-    val = validation_documents(pairs, val_frac, seed, area).withColumn("val", F.lit(True))
-    return pairs.join(val, "doc_id", "left").withColumn("split", F.when(F.col("val"), "val").otherwise("train")).drop("val")
-
-
-def shuffled(rows: DataFrame, seed: int, key: str = "qa_id") -> DataFrame:
-    return rows.orderBy(draw(seed, key), key)
+    """Adds ``split``; every pair gets one, a pair without a document too. Write with ``write_split``."""
+    val = validation_documents(pairs, val_frac, seed, area).select(F.col("doc_id").alias("_doc"))
+    return pairs.join(val, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("split", F.when(F.col("_doc").isNotNull(), "val").otherwise("train")).drop("_doc")
 
 
 def describe(rows: DataFrame, area=None) -> DataFrame:
@@ -89,20 +85,22 @@ def coverages(rows: DataFrame) -> DataFrame:
     return each.where("split = 'val'").join(vocabulary, "word", "left").groupBy("qa_id").agg(F.avg(F.coalesce("hit", F.lit(0.0))).alias("coverage"))
 
 
-def shared(rows: DataFrame, key, name: str) -> DataFrame:
-    """How many keys both sides have: one grouping, no self-join."""
-    return rows.groupBy(key.alias("key")).agg(F.countDistinct("split").alias("sides")).agg(F.count_if(F.col("sides") > 1).alias(name))
-
-
 def leakage(rows: DataFrame) -> DataFrame:
-    """One row: what both sides share (must be 0), median coverage, share of high coverage."""
+    """One row: what both sides share (must be 0), median coverage, share of high coverage. All keys are
+    grouped together, once, with a row of each side and key; with coverage's two that is three passes over
+    ``rows``: pass a written split."""
+    keys = {"shared_docs": F.col("doc_id").cast("string"), "shared_chunks": F.col("gold_chunk_id").cast("string"), "shared_questions": normalize(F.col("question"))}
+    each = rows.select("split", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), key.alias("key")) for kind, key in keys.items()))).alias("k"))
+    sides = each.groupBy("k.kind", "k.key").agg(F.min("split").alias("low"), F.max("split").alias("high"))
+    hard = sides.agg(*(F.count_if((F.col("kind") == kind) & (F.col("low") < F.col("high"))).alias(kind) for kind in keys))
     soft = coverages(rows).agg(F.coalesce(F.round(F.median("coverage"), 6), F.lit(0.0)).alias("median_vocab_coverage"), F.coalesce(F.round(F.avg((F.col("coverage") > 0.9).cast("double")), 6), F.lit(0.0)).alias("high_coverage_frac"))
-    out = shared(rows, F.col("doc_id"), "shared_docs").crossJoin(shared(rows, F.col("gold_chunk_id"), "shared_chunks")).crossJoin(shared(rows, normalize(F.col("question")), "shared_questions"))
-    return out.crossJoin(soft)
+    return hard.crossJoin(soft)
 
 
 def write_split(rows: DataFrame, path: str, seed: int = 42) -> None:
-    """JSON lines by side, only if nothing hard is shared."""
+    """JSON lines by side, each in an order drawn by the seed, only if nothing hard is shared. The rows are
+    written once, and gate and output read that."""
+    rows = staged(rows, "split")
     found = leakage(rows).first()
     if any(found[c] for c in HARD):
         raise ValueError("the split leaks: " + ", ".join(f"{c}={found[c]}" for c in HARD))

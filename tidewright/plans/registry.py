@@ -16,6 +16,7 @@ from tidewright.functions import text as T
 from tidewright.operators import chunking, qa, retrieval, splitting, training
 from tidewright.plans import derive
 from tidewright.plans.derive import QA_SQL, SECTIONS_SQL, TOP_SQL, table
+from tidewright.sources.tables import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -160,18 +161,24 @@ def _contains(column: str, phrases: list[str]) -> str:
 
 
 BANNED_SQL = " ".join(f"WHEN contains(lower(question), '{p}') THEN 'meta_reference:{p}'" for p in qa.BANNED)
-VALID_SQL = f"""{QA_SQL},
-w AS (SELECT *, list_filter(string_split({norm_sql('answer')}, ' '), lambda x: x <> '') AS aw, ' ' || array_to_string(list_filter(string_split({norm_sql('content')}, ' '), lambda x: x <> ''), ' ') || ' ' AS cw FROM qa),
+
+
+def valid_sql(rows: str) -> str:
+    """Table v: the rows with the first reason to reject them."""
+    return f"""w AS (SELECT *, list_filter(string_split({norm_sql('answer')}, ' '), lambda x: x <> '') AS aw, ' ' || array_to_string(list_filter(string_split({norm_sql('content')}, ' '), lambda x: x <> ''), ' ') || ' ' AS cw FROM {rows}),
 v AS (SELECT qa_id, doc_id, gold_chunk_id, item_idx, question, answer, CASE WHEN length(question) < 15 THEN 'question_too_short' WHEN length(question) > 400 THEN 'question_too_long' WHEN NOT ends_with(question, '?') THEN 'question_not_a_question'
   WHEN length(answer) < 30 THEN 'answer_too_short' {BANNED_SQL} WHEN {_contains('answer', qa.SOURCED)} THEN 'answer_references_source' WHEN {_contains('answer', qa.REFUSED)} THEN 'answer_is_refusal'
   WHEN len(aw) = 0 OR len(list_filter(range(1, len(aw) - (6 * len(aw)) // 10 + 1), lambda i: contains(cw, ' ' || array_to_string(aw[i:i + (6 * len(aw)) // 10], ' ') || ' '))) > 0 THEN 'answer_is_extraction' END AS reason FROM w)"""
+
+
+VALID_SQL = f"{QA_SQL},\n{valid_sql('qa')}"
 GATE_SQL = f"""{VALID_SQL},
 n AS (SELECT *, row_number() OVER (PARTITION BY {norm_sql('question')} ORDER BY doc_id, item_idx) AS k FROM v WHERE reason IS NULL)"""
 
 
-def fold_sql(rows: str) -> str:
-    """Tables o and r: whether an answer is like one kept before it in its document."""
-    return f"""o AS (SELECT qa_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY item_idx) AS nth, {words_sql('answer')} AS words FROM {rows}),
+def fold_sql(rows: str, key: str = "doc_id") -> str:
+    """Tables o and r: whether an answer is like one kept before it in its document, or other key."""
+    return f"""o AS (SELECT qa_id, {key} AS doc_id, row_number() OVER (PARTITION BY {key} ORDER BY item_idx) AS nth, {words_sql('answer')} AS words FROM {rows}),
 r AS (SELECT doc_id, CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[][]) AS kept, CAST(NULL AS VARCHAR) AS qa_id, false AS redundant FROM o WHERE nth = 1
 UNION ALL SELECT o.doc_id, o.nth, CASE WHEN len(o.words) = 0 OR t.hit THEN r.kept ELSE list_append(r.kept, o.words) END, o.qa_id, t.hit FROM r JOIN o ON o.doc_id = r.doc_id AND o.nth = r.nth + 1,
 LATERAL (SELECT len(list_filter(r.kept, lambda k: len(o.words) > 0 AND len(list_intersect(k, o.words)) / len(list_distinct(list_concat(k, o.words))) >= 0.45)) > 0 AS hit) t)"""
@@ -260,6 +267,37 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.requests(source_chunks(spark, sf_dir).withColumn("sample_ord", F.lit(0).cast("long")), SYSTEM, MODEL, PER_CHUNK)
 
 
+def several(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cache_key, raw: a response to each assistant turn that follows a user turn, with three pairs: the turns'
+    own, one more question with the same answer, and the first question in capitals."""
+    pairs = derive.qa(spark, sf_dir).withColumn("chunk_id", F.concat_ws("::", F.col("doc_id").cast("string"), (F.col("item_idx") + 1).cast("string")))
+    item = lambda q: F.struct(q.alias("question"), F.col("answer"))
+    items = F.array(item(F.col("question")), item(F.concat(F.lit("In short: "), "question")), item(F.upper("question")))
+    raw = F.to_json(F.struct((F.col("area") != 6).alias("suitable"), items.alias("questions")))
+    raw = F.when(F.col("area") == 4, F.expr("substring(question, 1, 9)")).when(F.col("area") == 2, F.concat(F.lit("Here: "), raw)).otherwise(raw)
+    return pairs.select(qa.cache_key(F.col("chunk_id"), MODEL, PER_CHUNK).alias("cache_key"), raw.alias("raw"))
+
+
+ITEMS_SQL = f"""{QA_SQL}, {SOURCE_SQL},
+s1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY has_code DESC, md5('{SEED}|' || chunk_id), chunk_id) AS nth FROM src),
+s2 AS (SELECT *, row_number() OVER (ORDER BY md5('{SEED + 1}|' || chunk_id), chunk_id) - 1 AS sample_ord FROM s1 WHERE nth <= 3),
+it AS (SELECT s2.chunk_id || '::' || k AS qa_id, s2.doc_id, s2.chunk_id AS gold_chunk_id, CAST(k AS INTEGER) AS item_idx, sample_ord, breadcrumb, s2.content,
+  CASE k WHEN 0 THEN question WHEN 1 THEN 'In short: ' || question ELSE upper(question) END AS question, answer
+  FROM s2 JOIN qa ON s2.chunk_id = qa.doc_id || '::' || (qa.item_idx + 1), LATERAL (SELECT unnest(range(3)) AS k) i WHERE area NOT IN (4, 6)),
+{valid_sql('it')},
+n AS (SELECT v.*, sample_ord, row_number() OVER (PARTITION BY {norm_sql('v.question')} ORDER BY sample_ord, v.item_idx) AS k FROM v JOIN it USING (qa_id) WHERE reason IS NULL), {fold_sql('(SELECT * FROM n WHERE k = 1)', 'gold_chunk_id')},
+ok AS (SELECT n.* FROM n JOIN r ON r.qa_id = n.qa_id WHERE k = 1 AND NOT redundant)"""
+
+
+@query(f"""WITH RECURSIVE {ITEMS_SQL} SELECT ok.gold_chunk_id || '::q' || (row_number() OVER (ORDER BY ok.sample_ord, ok.item_idx) - 1) AS qa_id, trim(ok.question) AS question, trim(ok.answer) AS answer, ok.gold_chunk_id, CAST(ok.doc_id AS VARCHAR) AS doc_id, it.breadcrumb, '{derive.BASE}' || ok.doc_id || '.html' AS url, 'none' AS provider, '{MODEL}' AS model FROM ok JOIN it USING (qa_id)""")
+def qa_pairs(spark, sf_dir):
+    """From the sample over requests, responses and gates to the table of pairs, in sample order."""
+    chunks = source_chunks(spark, sf_dir).withColumn("url", F.concat(F.lit(derive.BASE), F.col("doc_id").cast("string"), F.lit(".html")))
+    sample = qa.sample_chunks(chunks, None, 3, SEED)
+    rows = qa.generated(qa.requests(sample, SYSTEM, MODEL, PER_CHUNK), several(spark, sf_dir), chunks)
+    return qa.qa_pairs(qa.gate(rows, ["sample_ord", "item_idx"]), "none")
+
+
 @query(f"""WITH {SOURCE_SQL}, q AS (SELECT {KEY_SQL} AS cache_key, chunk_id, 'Documentation section: ' || breadcrumb || chr(10) || chr(10) || '--- PASSAGE START ---' || chr(10) || content || chr(10) || '--- PASSAGE END ---' || chr(10) || chr(10) || 'Write {PER_CHUNK} question-answer pairs following the rules. JSON only.' AS prompt FROM src)
 SELECT cache_key, chunk_id, md5(prompt) AS prompt_md5 FROM q WHERE substr(cache_key, 1, 1) NOT IN ('0', '1', '2', '3')""")
 def resume_requests(spark, sf_dir):
@@ -317,7 +355,7 @@ s AS (SELECT qa.*, CASE WHEN r.val THEN 'val' ELSE 'train' END AS split FROM qa
 
 
 def divided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.split(derive.qa(spark, sf_dir), 0.2, SEED, F.col("doc_id") % 10)
+    return staged(splitting.split(derive.qa(spark, sf_dir), 0.2, SEED, F.col("doc_id") % 10), "split")
 
 
 @query(f"WITH RECURSIVE {SPLIT_SQL} SELECT qa_id, split FROM s")
@@ -357,6 +395,38 @@ def section_stats(spark, sf_dir):
     return chunking.section_stats(derive.sections(spark, sf_dir), table(spark, sf_dir, "documents")).withColumn("mean_chars", F.round("mean_chars", 6))
 
 
+LINES_SQL = f"""{SECTIONS_SQL}, l AS (SELECT doc_id, section_seq, coalesce(breadcrumb, '') || ' > ' || (section_seq // 3) || ' > ' || section_seq AS breadcrumb, url, text, length(text) AS n, length(text) < {4 * chunking.SMALL} AS short FROM sections)"""
+
+
+@query(f"""WITH RECURSIVE {LINES_SQL},
+f AS (SELECT doc_id, section_seq, section_seq AS head, CASE WHEN short THEN n ELSE 0 END AS chars, short AS open FROM l WHERE section_seq = 0
+  UNION ALL SELECT l.doc_id, l.section_seq, CASE WHEN l.short AND f.open THEN f.head ELSE l.section_seq END, t.chars, l.short AND t.chars < {12 * chunking.SMALL} FROM f JOIN l ON l.doc_id = f.doc_id AND l.section_seq = f.section_seq + 1,
+  LATERAL (SELECT CASE WHEN l.short AND f.open THEN f.chars + 2 + l.n WHEN l.short THEN l.n ELSE 0 END AS chars) t),
+g AS (SELECT f.doc_id, head, count(*) AS merged_from, string_agg(text, chr(10) || chr(10) ORDER BY l.section_seq) AS text, min(l.section_seq // 3) = max(l.section_seq // 3) AS one_part FROM f JOIN l ON l.doc_id = f.doc_id AND l.section_seq = f.section_seq GROUP BY 1, 2)
+SELECT g.doc_id, head AS section_seq, CAST(merged_from AS INTEGER) AS merged_from, CASE WHEN merged_from = 1 THEN l.breadcrumb WHEN one_part THEN regexp_replace(l.breadcrumb, ' > [0-9]+$', '') ELSE regexp_replace(l.breadcrumb, ' > [0-9]+ > [0-9]+$', '') END AS breadcrumb, l.url, md5(g.text) AS text_md5
+FROM g JOIN l ON l.doc_id = g.doc_id AND l.section_seq = g.head""")
+def merge_small(spark, sf_dir):
+    """Lines as sections under a breadcrumb of three levels; short neighbours joined."""
+    part = F.concat(F.coalesce("breadcrumb", F.lit("")), F.lit(" > "), F.floor(F.col("section_seq") / 3).cast("string"), F.lit(" > "), F.col("section_seq").cast("string"))
+    rows = chunking.merged(derive.sections(spark, sf_dir).withColumn("breadcrumb", part))
+    return rows.select("doc_id", "section_seq", "merged_from", "breadcrumb", "url", F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH RECURSIVE {SECTIONS_SQL}, u AS (SELECT doc_id, max({chunking.PACK_LIMIT} - (greatest(1, length(coalesce(breadcrumb, '')) // 4) + 2)) AS budget, list(greatest(1, length(text) // 4) ORDER BY section_seq) AS sizes, list(contains(text, ', ') ORDER BY section_seq) AS code FROM sections GROUP BY doc_id),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS size, CAST(NULL AS BIGINT) AS closed, CAST(NULL AS BIGINT) AS closed_first FROM u
+  UNION ALL SELECT f.doc_id, i + 1, CASE WHEN t.full THEN i - t.tail ELSE first END, CASE WHEN t.full THEN coalesce(list_sum(sizes[i - t.tail + 1:i]), 0) ELSE size END + sizes[i + 1], CASE WHEN t.full THEN i - 1 END, CASE WHEN t.full THEN first END
+  FROM f JOIN u USING (doc_id), LATERAL (SELECT i > first AND size + sizes[i + 1] > budget AS full, list_max(list_filter(range(0, i - first + 1), lambda k: coalesce(list_sum(sizes[i - k + 1:i]), 0) <= {chunking.OVERLAP} AND NOT list_contains(code[i - k + 1:i], true))) AS tail) t WHERE i < len(sizes)),
+g AS (SELECT doc_id, closed_first AS first_unit, closed AS last_unit FROM f WHERE closed IS NOT NULL UNION ALL SELECT doc_id, first, len(sizes) - 1 FROM f JOIN u USING (doc_id) WHERE i = len(sizes))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY last_unit) - 1 AS INTEGER) AS piece, CAST(first_unit AS INTEGER) AS first_unit, CAST(last_unit AS INTEGER) AS last_unit, CAST(list_sum(sizes[first_unit + 1:last_unit + 1]) AS BIGINT) AS tokens FROM g JOIN u USING (doc_id)""")
+def pack_chunks(spark, sf_dir):
+    """Lines as units of their document, those with a comma standing for code, packed with overlap."""
+    unit = F.struct("section_seq", T.tokens(F.col("text")).cast("long").alias("size"), F.contains("text", F.lit(", ")).alias("code"))
+    docs = derive.sections(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(unit)).alias("units"), F.max(T.tokens(F.coalesce("breadcrumb", F.lit("")))).alias("crumb"))
+    groups = docs.select("doc_id", "units", F.posexplode(chunking.packed("units", F.lit(chunking.PACK_LIMIT) - (F.col("crumb") + 2))).alias("piece", "g"))
+    held = F.slice("units", F.col("g.first") + 1, F.col("g.last") - F.col("g.first") + 1)
+    return groups.select("doc_id", "piece", F.col("g.first").alias("first_unit"), F.col("g.last").alias("last_unit"), F.aggregate(held, F.lit(0).cast("long"), lambda s, u: s + u["size"]).alias("tokens"))
+
+
 @query()
 def chunk_documents(spark, sf_dir):
     return chunking.chunk(derive.sections(spark, sf_dir)).select("chunk_id", "breadcrumb", "url", "n_tokens", "has_code", "code_split", "merged_from", F.md5("text").alias("text_md5"))
