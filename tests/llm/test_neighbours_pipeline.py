@@ -31,6 +31,15 @@ def test_recall_ties_and_odd_vectors(spark):
     assert neighbours.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_three_valid_vectors_among_ten_thousand(spark):
+    bad = [None, [0.0, 0.0], [float("nan"), 1.0], [float("inf"), 1.0], [None, 1.0]]
+    rows = [(i, bad[i % 5]) for i in range(1, 10_000) if i not in (100, 4321, 7777)] + [(100, [1.0, 0.0]), (4321, [0.5, 0.5]), (7777, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("block", F.lit(1))
+    got = [tuple(r) for r in neighbours.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
+    assert [r[:3] for r in got] == [(100, 1, 4321), (100, 2, 7777)] and got[1][3] == 2.0
+    assert neighbours.search(df.where("vec_id not in (100, 4321, 7777)"), F.col("vec_id") % 100 == 0).count() == 0
+
+
 def test_repeated_rows_are_one_neighbour(spark):
     x = np.random.default_rng(3).normal(size=(300, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")

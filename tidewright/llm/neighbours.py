@@ -185,12 +185,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, exact: bool = Fals
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sizes = vectors.where("embedding is not null").groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    if sizes:  # the others take no part, and are left out of the sample too
+        bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        vectors = vectors.where((F.size("embedding") == sizes["dim"]) & ~bad & F.exists("embedding", lambda x: x != 0))
     learned = sizes and sizes["dim"] and learn(vectors, sizes["dim"], k)
     if not learned:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, (coder, radius) = sizes["dim"], learned
     radius = BITS if exact else radius
-    queries = vectors.where(is_query).dropDuplicates(["vec_id"])
+    queries = vectors.where(is_query).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
     blocks = -(-queries.count() // (BLOCK // 2)) or 1  # dealt by a hash: half full on average
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
     found = None
