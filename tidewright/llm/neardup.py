@@ -18,8 +18,8 @@ that may be as near to another group by the triangle inequality. Compared pairs
 weighted Jaccard similarity is ``SIMILAR`` or more; groups are the connected components of the links.
 
 Defined results: a null text is a group of its own; empty texts, or other texts without a word, are
-grouped only with equal ones; very long texts are compared whole; rows with one doc_id are one
-document; a null doc_id stays ungrouped (group_id null); ties go to the smallest doc_id; an empty table
+grouped only with equal ones; very long texts are compared whole; rows with one doc_id and
+text are one document, texts of one doc_id are documents each; a null doc_id stays ungrouped (group_id null); ties go to the smallest doc_id; an empty table
 gives no rows; further columns, of whatever name, are ignored.
 """
 
@@ -90,6 +90,7 @@ class Weights:
     """TF-IDF from the sketch of document frequencies."""
 
     def __init__(self, counters: np.ndarray, n: int):
+        self.seen = counters.astype(np.int64)
         rare = max(1.0, float(counters.mean()))  # what unrelated shingles add to a counter
         df = np.clip(counters - rare, 1.0, max(1.0, n))
         self.idf = (1 + SPREAD * np.minimum(1, 2 * np.log(max(n, 2) / df) / np.log(max(n, 2)))).astype(np.float32)
@@ -109,13 +110,13 @@ def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray
 
 def prefixes(texts: list[str], w: Weights, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, shingle, the text's weight, weight of this and all later shingles) of each text's prefix, in
-    one order of all shingles, rare ones first. What two texts have in common is no more than the
+    one order of all shingles, by their counters and so with shared passages last. What two texts have in common is no more than the
     weight from the first shared shingle on, and at least ``similar`` of either text if they are alike:
     they share a shingle of both prefixes."""
     text, shingle, often = shingles(texts)
     if not len(text):
         return text, shingle, np.empty(0), np.empty(0)
-    order = np.lexsort((shingle, -w.of(shingle, np.ones(1, np.int64)), text))
+    order = np.lexsort((shingle, w.seen[(shingle >> np.uint64(46)).astype(np.int64)], text))
     text, shingle, weight = text[order], shingle[order], w.of(shingle, often)[order].astype(float)
     starts = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
     size = np.diff(np.append(starts, len(text)))
@@ -235,9 +236,10 @@ def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, com
     return like.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
 
-def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, class_id, group_id: a row for each row of ``docs``. class_id is the smallest id with an
-    equal text, group_id the smallest id of the near-duplicate group."""
+def named_classes(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and text's key of every row with an id; key, class_id and group_id of every distinct text).
+    A class is named by its smallest id; where several texts have one smallest id, all are named by
+    (id, hash of the text)."""
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     weights = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs))  # COUNTERS floats
@@ -255,12 +257,16 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     keyed = docs.where("doc_id is not null").withColumn("key", F.sha2("text", 256))
     signed = materialise(keyed.mapInArrow(sign, f"doc_id {kind}, key string, bands array<long>"), "signatures")
     classes = materialise(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")), "classes")
+    first_id = F.col("class_id")
+    if not classes.groupBy("class_id").count().where("count > 1").isEmpty():  # texts of one id: classes are named by both
+        classes = materialise(classes.withColumn("class_id", F.struct("class_id", F.xxhash64("key").alias("text"))), "classes")
+        kind, first_id = classes.schema["class_id"].dataType.simpleString(), F.col("class_id.class_id")
 
     places = classes.where("bands is not null").select("class_id", F.posexplode("bands").alias("band", "value"))
     lead = places.groupBy("band", "value").agg(F.min("class_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     led = materialise(places.join(lead, ["band", "value"]), "buckets")
     members = led.select("class_id").distinct().join(classes.select("class_id", "key"), "class_id")
-    texts = docs.join(members, F.col("doc_id") == F.col("class_id")).where(F.sha2("text", 256) == F.col("key"))
+    texts = docs.join(members, F.col("doc_id") == first_id).where(F.sha2("text", 256) == F.col("key"))
     texts = materialise(texts.dropDuplicates(["class_id"]).select("class_id", "text"), "candidates")
     led = led.where("class_id > lead")
 
@@ -311,14 +317,29 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     found = rest_links(late.distinct(), named, texts, weights, compared, similar)
     joined = materialise(components(found), "roots")
     named = named.join(joined.select(F.col("node").alias("root"), F.col("root").alias("low")), "root", "left").select("key", "class_id", F.coalesce("low", "root").alias("group_id"))
-    rows = signed.select("doc_id", "key").unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("string").alias("key")))
+    return signed.select("doc_id", "key"), named
+
+
+def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """doc_id, class_id, group_id: a row for each row of ``docs``. class_id is the smallest id with an
+    equal text, group_id the smallest id of the near-duplicate group."""
+    rows, named = named_classes(docs, similar)
+    if not isinstance(named.schema["class_id"].dataType, type(docs.schema["doc_id"].dataType)):
+        named = named.select("key", F.col("class_id.class_id").alias("class_id"), F.col("group_id.class_id").alias("group_id"))
+    rows = rows.unionByName(docs.where("doc_id is null").select("doc_id", F.lit(None).cast("string").alias("key")))
     return rows.join(named, "key", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("group_id", "doc_id").alias("group_id"))
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row of each group, that of its smallest id; rows with a null id all stay."""
-    kept = groups(docs, similar).where("doc_id = group_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group, that of its smallest id; of repeated rows with one id and text one stays.
+    Rows with a null id all stay, as do those of a null text, one an id."""
+    _, named = named_classes(docs, similar)
+    lead = F.col("class_id") if isinstance(named.schema["class_id"].dataType, type(docs.schema["doc_id"].dataType)) else F.col("class_id.class_id")
+    heads = named.where("class_id = group_id").select(F.col("key").alias("_key"), lead.alias("_head"))
+    keyed = docs.withColumn("_key", F.sha2("text", 256))
+    own = keyed.where("doc_id is not null and text is not null").join(heads.withColumnRenamed("_key", "_of"), (F.col("_key") == F.col("_of")) & (F.col("doc_id") == F.col("_head")), "left_semi")
+    mute = keyed.where("doc_id is not null and text is null")
+    return own.dropDuplicates(["doc_id", "_key"]).unionByName(mute.dropDuplicates(["doc_id"])).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op5_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
