@@ -117,7 +117,20 @@ def test_guess_cost():
     cost = lambda v: secret_scan.guess_cost(v, {"password": 1})
     assert cost("password") < cost("Password") < cost("1987-06-05") < cost("xK9#mQ2$vL")
     assert cost("qwertyuiop") < 5 and cost("abcabcabcabc") < 5 and cost("a" * 20) < 3
-    assert secret_scan.guess_cost("q8Zk" * 50_000, {}, 10.0) >= 10
+    assert secret_scan.guess_cost("q8Zk" * 50_000, {}, 10.0) == pytest.approx(4 + math.log10(50_000))
+    assert secret_scan.guess_cost("".join(rng.choice("q8Zk7!x") for _ in range(200_000)), {}, 10.0) >= 10
+    assert all(cost("*" * k) < 10 for k in (6, 40, 120, 5000, 100_000))  # masked values of any length
+
+
+def test_guess_cost_of_repeats_and_walks_that_run_into_others():
+    rng = random.Random(5)
+    ranks = {"admin": 2, "banana": 4, "nan": 9, "qwe": 11}
+    assert secret_scan.guess_cost("aaaaaadmin", ranks) == pytest.approx(cheapest("aaaaaadmin", ranks))
+    for _ in range(300):
+        pieces = [c * rng.randint(1, 7) for c in "a*n"] + [u * rng.randint(2, 4) for u in ("na", "abc", "q8Zk")] + ["admin", "banana", "qwerty", "asdfdsa", "1", "xk"]
+        v = "".join(rng.sample(pieces, rng.randint(1, 4)))[:22]
+        assert secret_scan.guess_cost(v, ranks) == pytest.approx(cheapest(v, ranks)), v
+        assert (secret_scan.guess_cost(v, ranks, 5.0) >= 5.0) == (cheapest(v, ranks) >= 5.0 - 1e-9), v
 
 
 def test_secret_rows_and_redaction(spark):
@@ -131,12 +144,12 @@ def test_secret_rows_and_redaction(spark):
     assert secret_scan.scan(df.limit(0), ranks).count() == 0
 
 
-@pytest.mark.parametrize("before", ["credentials: password: ", "secret token: ", "secret password:", "pwd=", "passphrase: ", "access_key="])
+@pytest.mark.parametrize("before", ["credentials: password: ", "secret token: ", "secret password:", "pwd=", "passphrase: ", "access_key=", "password\t", "secret:\t", "api_key =\n  "])
 @pytest.mark.parametrize("value", ["P@ssw0rd!x9Q$Lm7", "K$9zQ!mW2#vTr8", "qzxvkjwhtbnmplkj"])
 def test_secret_values_after_keywords(before, value):
     ranks = {w: i for i, w in enumerate(secret_scan.COMMON, 1)}
     assert (len(before), 3, len(before) + len(value)) in secret_scan.find(before + value + " end", ranks)
-    assert not secret_scan.find("the secret qzxvkjwhtbnmplkj", ranks)
+    assert not secret_scan.find("the secret qzxvkjwhtbnmplkj", ranks) and not secret_scan.find("password: " + "*" * 120, ranks)
 
 
 def plain_ppm(train, text, order):
@@ -301,6 +314,27 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {r["doc_id"]: r["group_id"] for r in neardup.groups(df.repartition(5)).collect()} == want
 
 
+def test_two_texts_of_one_id_both_survive(spark):
+    rng = random.Random(13)
+    a, b = words(rng, 60, 5000), words(rng, 60, 5000)
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b), (7, b + " more"), (None, a), (9, None), (9, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in neardup.keep_one(df).collect()), key=repr)
+    assert kept == sorted([(1, a), (5, b), (9, None), (None, a)], key=repr)
+    groups = sorted((r["doc_id"], r["group_id"]) for r in neardup.groups(df.where("doc_id is not null and text is not null")).collect())
+    assert groups == [(1, 1), (5, 1), (5, 5), (5, 5), (7, 5), (9, 1)]
+
+
+def test_a_shared_passage_is_no_reason_to_compare(spark):
+    rng = random.Random(14)
+    passage = words(rng, 60, 100_000)
+    texts = [words(rng, 80, 10_000_000) for _ in range(1500)] + [f"{passage} {words(rng, 70, 10_000_000)}" for _ in range(60)]
+    w = neardup.frequency_sketch(frame(spark, texts))
+    text, shingle, _, _ = neardup.prefixes(texts, w, neardup.SIMILAR)
+    met = Counter(shingle.tolist())
+    assert sum(n * (n - 1) // 2 for n in met.values()) <= 20  # of 1,770 pairs with the passage
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(8)
     a = rng.integers(1, 1 << 62, 400).astype(np.uint64)

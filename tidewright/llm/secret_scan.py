@@ -32,7 +32,7 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, as of [0-9a-f]+, of 24 characters or more
-KEYWORD = r"""(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|bearer|credentials?|(?:api|private|access|auth|client)[_-]?(?:key|token|secret))["']?(?:\x20*(?:=>|:|=(?!>))\x20*|\x20+)"""
+KEYWORD = r"""(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|bearer|credentials?|(?:api|private|access|auth|client)[_-]?(?:key|token|secret))["']?(?:[\x20\t]*(?:=>|:|=(?!>))[\x20\t]*(?:\r?\n[\x20\t]*)?|[\x20\t]+)"""
 # a value that is a keyword with a value of its own is left to that one
 CONTEXT = re.compile(KEYWORD + rf"""(?!{KEYWORD}(?:"[^"\n]{{6}}|'[^'\n]{{6}}|[^\s"',;]{{6}}))""" + r"""(?:"([^"\n]{6,})"|'([^'\n]{6,})'|([^\s"',;]{6,}))""", re.I | re.A)
 
@@ -48,7 +48,8 @@ STEPS = {p: way for row in (*ROWS, *COLUMNS) for a, b in pairwise(row) for p, wa
 
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-/._]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
 YEAR = re.compile(r"(?:19|20)\d\d")
-LONGEST = 24  # of words, dates and one piece of a walk or repeat
+LONGEST = 24  # of the dictionary's words
+UNIT = 8  # of a repeat
 DATE_COST, YEAR_COST = math.log10(119 * 365), math.log10(119)
 WALK_STARTS, TURNS = 47, 4.6
 SECURE = 10.0  # log10 of guesses
@@ -56,20 +57,38 @@ DICTIONARY = 30_000
 
 
 def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> float:
-    """log10 of the guesses of the cheapest segmentation, or any number of ``enough`` and more once
-    all ways on cost that much: segments are bounded, so a window of LONGEST costly ends suffices."""
+    """log10 of the guesses of the cheapest segmentation, or any number of ``enough`` and more if it costs
+    that much. Repeats, of up to ``UNIT`` characters, and walks are of any length.
+
+    No segment starts where the way so far costs ``enough``, so a long value of costly characters ends
+    soon. Behind a repeat none starts that goes on along the same run (``via``), but for short ones of
+    another unit: taking the units in one is cheaper. So a run costs its length, not the square of it."""
     n, low = len(value), value.lower()
     best = [0.0] + [math.inf] * n
+    via = [0] * (n + 1)  # the unit of the repeat by which a place is reached, some characters of its run behind it
+    far = 0
+    costs: dict[str, float] = {}
+
+    def cost_of(piece: str) -> float:
+        if piece not in costs:
+            costs[piece] = min(len(piece), guess_cost(piece, ranks)) if len(piece) > 2 else len(piece)
+        return costs[piece]
+
     for i in range(n):
         here = best[i]
-        if i >= LONGEST and here >= enough and min(best[i - LONGEST : i]) >= enough:
-            return min(best[i - LONGEST : i + 1])
+        if i > far:
+            return enough
+        if here >= enough:
+            continue
 
-        def reach(end: int, cost: float, here: float = here) -> None:
+        def reach(end: int, cost: float, unit: int = 0, here: float = here) -> None:
+            nonlocal far
             if here + cost < best[end]:
-                best[end] = here + cost
+                best[end], via[end] = here + cost, unit
+                if here + cost < enough:
+                    far = max(far, end)
 
-        reach(i + 1, 1.0)  # brute force: ten guesses a character
+        reach(i + 1, 1.0, via[i])  # brute force: ten guesses a character
         for end in range(i + 3, min(n, i + LONGEST) + 1):
             if rank := ranks.get(low[i:end]):
                 upper = sum(map(str.isupper, value[i:end]))
@@ -79,20 +98,30 @@ def guess_cost(value: str, ranks: dict[str, int], enough: float = math.inf) -> f
             for end in range(i + 4, min(n, i + 10) + 1):
                 if DATE.fullmatch(value, i, end):
                     reach(end, YEAR_COST if YEAR.fullmatch(value, i, end) else DATE_COST)
-        for unit in range(1, 9):
-            times = 1
-            while times * unit < LONGEST and value.startswith(value[i : i + unit], i + times * unit) and i + (times + 1) * unit <= n:
+        w = via[i]
+        inside = w and i >= 2 * w and value[i - 2 * w : i - w] == value[i - w : i] == value[i : i + w]
+        for unit in range(1, UNIT + 1):
+            piece = value[i : i + unit]
+            if i + 2 * unit > n or not value.startswith(piece, i + unit) or inside and unit == w:
+                continue
+            least = (piece + piece).index(piece, 1)  # a repeat itself may be cheaper by words, else the smaller unit does
+            if least < unit and cost_of(piece) >= cost_of(piece[:least]) + math.log10(unit // least) - 1e-12:
+                continue
+            times, most = 2, 2 * UNIT // unit if inside else n
+            while times <= most and value.startswith(piece, i + (times - 1) * unit) and i + times * unit <= n:
+                if times * unit > 2:
+                    reach(i + times * unit, cost_of(piece) + math.log10(times), unit)
                 times += 1
-            if times > 1 and times * unit > 2:
-                reach(i + times * unit, min(unit * 1.0, guess_cost(value[i : i + unit], ranks) if unit > 2 else unit) + math.log10(times))
         end, turns, way = i + 1, 0, None
-        while end < min(n, i + LONGEST) and (low[end - 1], low[end]) in STEPS:
+        while end < n and (low[end - 1], low[end]) in STEPS:
             step = STEPS[low[end - 1], low[end]]
             turns, way = turns + (way is not None and step != way), step
             end += 1
+            if here + turns * math.log10(TURNS) >= enough:
+                break
             if end - i >= 3:
                 reach(end, math.log10(WALK_STARTS * (end - i)) + turns * math.log10(TURNS))
-    return best[n]
+    return min(best[n], max(enough, 0.0)) if math.isinf(best[n]) else best[n]
 
 
 def find(text: str | None, ranks: dict[str, int], secure: float = SECURE) -> list[tuple[int, int, int]]:
@@ -107,8 +136,8 @@ def find(text: str | None, ranks: dict[str, int], secure: float = SECURE) -> lis
         value = m[m.lastindex]
         if m.lastindex == 3:
             b -= len(value) - len(value := value.rstrip(".:!?)]}>"))
-        # one kind of letter only is prose, unless it is quoted or assigned
-        assigned = any(c in ":=" for c in text[m.start() : a])
+        # one kind of letter only is prose, unless it is quoted, assigned or in a column of its own
+        assigned = any(c in ":=\t" for c in text[m.start() : a])
         plain = m.lastindex == 3 and not assigned and value.isalpha() and (value.islower() or value.istitle())
         if b - a >= 6 and not plain and guess_cost(value, ranks, secure) >= secure:
             spans.append((a, 3, b))
