@@ -11,7 +11,7 @@ of ``docs``; the last one returns the packed pieces.
 
 Nulls: a null text has no toxic passage but no letter either, so the language stage rejects it; rows
 with a null doc_id are never duplicates of others. Empty tables pass through as empty tables. Very long
-texts go through whole. Of repeated rows with one doc_id one stays, as near duplicates of each other;
+texts go through whole. Of repeated rows with one doc_id and text one stays, texts of one doc_id are documents each;
 ties between duplicates go to the smallest doc_id. Further columns, of whatever name, are kept as they
 are up to the packing.
 """
