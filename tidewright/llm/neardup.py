@@ -39,6 +39,7 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 3
 ROUNDS = 3
 COUNTERS = 1 << 18
+EDGES = 25_000  # edges that a task takes, from 8 tasks on
 SPREAD = 0.25
 SLACK = 1e-6  # of rounding in sums of weights
 SLICE = 1_000_000  # bytes of texts in arrays at a time
@@ -196,17 +197,20 @@ def components(links: DataFrame) -> DataFrame:
     """node, root of every linked node: the smallest id of its component, by alternating large-star
     and small-star steps, each written so that no step depends on executors of an earlier one."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
-    mark = None
-    while True:
+    state = lambda: edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    now, mark = state(), None
+    tasks = max(8, now[0] // EDGES)  # a small graph takes few tasks, whatever the session's partitions
+    if now[0]:
+        edges = materialise(edges.coalesce(tasks), "edges")
+    while now[0] and now != mark:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = materialise(small.where("u != v").distinct(), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
-        mark = now
+        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks), "edges")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u").coalesce(tasks)
+        small = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = materialise(small.where("u != v").distinct().coalesce(tasks), "edges")
+        mark, now = now, state()
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
 def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, compared: Callable[[DataFrame], DataFrame], similar: float) -> DataFrame:
@@ -232,6 +236,8 @@ def rest_links(left: DataFrame, named: DataFrame, texts: DataFrame, weights, com
     meet = side(most, "a").join(side(most, "b"), "shingle").where(may).select("shingle", "root_a", "root_b")
     pairs = meet.join(side(places, "a"), ["shingle", "root_a"]).join(side(places, "b"), ["shingle", "root_b"]).where(may)
     pairs = materialise(pairs.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), "root_a", "root_b").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     like = compared(pairs.select("a", "b")).where(F.col("similarity") >= similar)
     return like.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct()
 
