@@ -59,8 +59,8 @@ def page_url(path: Column, base: str) -> Column:
 # Fixed patterns of inline markup, in the order they are resolved, with what stays.
 INLINE = [
     (r"`([^`<]+?)\s*<([^>]+)>`__?", "$1 ($2)"),
-    (r"(?U):\w+:`([^`<]+?)\s*<[^>]+>`", "$1"),
-    (r"(?U):\w+:`([^`]+)`", "$1"),
+    (r":\w+:`([^`<]+?)\s*<[^>]+>`", "$1"),
+    (r":\w+:`([^`]+)`", "$1"),
     (r"``([^`]+)``", "`$1`"),
     (r"\*\*([^*]+)\*\*", "$1"),
     (r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1"),
@@ -69,9 +69,15 @@ INLINE = [
 ]
 
 
+# What Python's classes and line ends are called in the JVM's patterns, where they are narrower by default.
+JVM_CLASSES = {r"\w": r"[\p{L}\p{N}_]", r"\s": r"[\p{IsWhite_Space}\x1c-\x1f]", "(?m)": "(?dm)"}
+
+
 def clean_inline(c: Column) -> Column:
     """A line's words without its inline markup."""
     for pattern, kept in INLINE:
+        for own, jvm in JVM_CLASSES.items():
+            pattern = pattern.replace(own, jvm)
         c = F.regexp_replace(c, pattern, kept)
     return c
 

@@ -1,8 +1,8 @@
 """Registered queries of the library's retrieval-data operators, with their SQL.
 
 Every query reads whole tables. ``QUERIES`` and ``ORACLES`` share keys. Of the queries without SQL, the
-parser and the chunker are held against plain versions of their steps in tests/; clean_inline and
-embed_search only against literals and by their metrics.
+parser and the chunker are held against plain versions of their steps in tests/; clean_inline is
+held against the parser's own patterns, embed_search only by its metrics.
 """
 
 from __future__ import annotations
