@@ -335,6 +335,14 @@ def test_a_shared_passage_is_no_reason_to_compare(spark):
     assert sum(n * (n - 1) // 2 for n in met.values()) <= 20  # of 1,770 pairs with the passage
 
 
+def test_components_of_chains_stars_and_repeated_links(spark):
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 400)] + [(7, 8), (8, 7), (500, 500), (601, 600)]
+    want = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 400)} | {600: 600, 601: 600}
+    found = neardup.components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()
+    assert {r["node"]: r["root"] for r in found} | {0: 0, 100: 100, 600: 600} == want
+    assert neardup.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(8)
     a = rng.integers(1, 1 << 62, 400).astype(np.uint64)
