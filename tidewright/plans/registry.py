@@ -16,6 +16,7 @@ from tidewright.functions import text as T
 from tidewright.operators import chunking, qa, retrieval, splitting, training
 from tidewright.plans import derive
 from tidewright.plans.derive import QA_SQL, SECTIONS_SQL, TOP_SQL, table
+from tidewright.sources import outline
 from tidewright.sources.tables import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -499,6 +500,52 @@ def parse_rst(spark, sf_dir):
     return rst.parse_documents(raw, derive.BASE).select("doc_id", "section_seq", "title", "breadcrumb", "level", "n_chars", "has_code", "url", "error", F.md5("text").alias("text_md5"))
 
 
+# The lines of a document with titles, code and titles in code among them, by their number.
+MARKED = {0: ("Part {i}\n========\n", ""), 2: ("Step {i}\n----------\n", ""), 3: ("```\nNot {i}\n--------\n", ""), 4: ("", "\n```"), 5: ("Note {i}\n~~~~~~~~\n", ""), 6: ("Tick {i}\n````````\n", ""), 7: ("Sub {i}\n........\n\n\n", "")}
+WHITE_SQL = "'" + outline.WHITE + "'"
+
+
+def _marked_sql() -> str:
+    text = lambda t: "'" + t.replace("{i}", "' || i || '").replace("\n", "' || chr(10) || '") + "'"
+    return "CASE i % 8 " + " ".join(f"WHEN {k} THEN {text(a)} || parts[i + 1] || {text(b)}" for k, (a, b) in MARKED.items()) + " ELSE parts[i + 1] END"
+
+
+OUTLINE_SQL = f"""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, string_agg({_marked_sql()}, chr(10) ORDER BY i) AS text FROM p GROUP BY 1),
+s AS (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS parts FROM f),
+l AS (SELECT doc_id, CAST(n AS BIGINT) AS n, parts[n + 1] AS line FROM (SELECT *, unnest(range(CASE WHEN parts[-1] = '' THEN len(parts) - 1 ELSE len(parts) END)) AS n FROM s)),
+u AS (SELECT *, starts_with(line, '```') AS edge, rtrim(lead(line) OVER w, {WHITE_SQL}) AS s, rtrim(line, {WHITE_SQL}) AS name FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+c AS (SELECT doc_id, n, line, edge, NOT edge AND coalesce(length(s) >= 3 AND contains('{outline.UNDERLINES.replace("'", "''")}', left(s, 1)) AND replace(s, left(s, 1), '') = '' AND name <> '' AND length(s) >= length(name) - 2, false) AS cand FROM u),
+m AS (SELECT *, cand AND (n - coalesce(max(n) FILTER (NOT cand) OVER w, -1)) % 2 = 1 AS may FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+e AS (SELECT *, edge AND coalesce(lag(may) OVER w, false) AS soft FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+k AS (SELECT *, count(*) FILTER (edge AND NOT soft) OVER w AS edges FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+h AS (SELECT *, may AND (edges - coalesce(max(edges) FILTER (soft) OVER w, 0)) % 2 = 0 AS heading FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+r AS (SELECT *, coalesce(lag(heading) OVER w, false) AS under, count(*) FILTER (heading) OVER w AS nth, coalesce(line = '' AND lag(line) OVER w = '', false) AS again FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+b AS (SELECT doc_id, nth, max(trim(line, {WHITE_SQL})) FILTER (heading) AS title, max(left(line, 1)) FILTER (under) AS mark,
+  trim(coalesce(string_agg(rtrim(line, {WHITE_SQL}), chr(10) ORDER BY n) FILTER (NOT heading AND NOT under AND NOT again), ''), {WHITE_SQL}) AS text FROM r GROUP BY 1, 2),
+g AS (SELECT doc_id, mark, row_number() OVER (PARTITION BY doc_id ORDER BY min(nth)) - 1 AS level FROM b WHERE mark IS NOT NULL GROUP BY doc_id, mark),
+t AS (SELECT b.*, CAST(coalesce(level, 0) AS INTEGER) AS level FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.mark = b.mark),
+d AS (SELECT *, nth - 1 + min(level - nth + 1) FILTER (nth > 0) OVER (PARTITION BY doc_id ORDER BY nth) AS deep FROM t),
+a AS (SELECT *, concat_ws(' > ', {", ".join(f"CASE WHEN deep >= {i} THEN arg_max(title, nth) FILTER (deep = {i}) OVER w END" for i in range(len(outline.UNDERLINES)))}) AS crumbs FROM d WINDOW w AS (PARTITION BY doc_id ORDER BY nth))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS INTEGER) AS section_seq, coalesce(title, CAST(doc_id AS VARCHAR)) AS title, CASE WHEN nth > 0 THEN crumbs ELSE CAST(doc_id AS VARCHAR) END AS breadcrumb,
+level, CAST(length(text) AS INTEGER) AS n_chars, contains(text, '```') AS has_code, md5(text) AS text_md5 FROM a WHERE length(text) >= {outline.LEAST}"""
+
+
+@query(OUTLINE_SQL)
+def outline_sections(spark, sf_dir):
+    """Sections of the documents by windows over lines, titles and code put among their lines."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    def put(line: Column, i: Column) -> Column:
+        out = line
+        for k, (a, b) in MARKED.items():
+            out = F.when(i % 8 == k, F.concat(F.replace(F.lit(a), F.lit("{i}"), i.cast("string")), line, F.lit(b))).otherwise(out)
+        return out
+
+    text = F.array_join(F.transform(F.split("text", "\n"), put), "\n")
+    sections = outline.outline(outline.file_lines(docs, text))
+    return sections.select("doc_id", "section_seq", "title", "breadcrumb", "level", "n_chars", "has_code", F.md5("text").alias("text_md5"))
+
+
 @query()
 def embed_search(spark, sf_dir):
     """Questions against all gold chunks through the stand-in encoder: gold rank of each."""
