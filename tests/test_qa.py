@@ -31,6 +31,33 @@ def test_longest_run_against_plain_search():
         assert qa.longest_run(" ".join(a), " ".join(c)) == (best / len(a) if a else 1.0)
 
 
+def test_extracts_against_the_longest_run(spark):
+    rng = random.Random(8)
+    some = lambda n, of="abc": [rng.choice(of) for _ in range(n)]
+    pairs = [(" ".join(some(rng.randint(0, 9))), " ".join(some(rng.randint(0, 14)))) for _ in range(1500)]
+    for n in range(1, 41):  # runs of just the limit, and one more and less, at any start
+        a = [f"w{i}" for i in range(n)]
+        for k in {int(0.6 * n) + d for d in (-1, 0, 1, 2)} & set(range(n + 1)):
+            s = rng.randint(0, n - k)
+            pairs.append((" ".join(a), " ".join([*some(3), *a[s : s + k], "and", *some(3)])))
+    pairs += [("", ""), (None, "a"), ("a", None), ("!?", "a"), ("ab c", "xab c"), ("Wörld-wide  \n words", "wrldwide words"), ("a b", "a\nb")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, answer string, content string")
+    df = df.withColumns({"own": T.words(T.normalize(F.coalesce("answer", F.lit("")))), "within": F.concat(F.lit(" "), F.array_join(T.words(T.normalize(F.coalesce("content", F.lit("")))), " "), F.lit(" "))})
+    for limit in (0.0, 0.3, 0.5, 0.6, 0.7, 1.0):
+        got = {r["i"]: r["x"] for r in df.select("i", qa.extracted(F.col("own"), F.col("within"), limit).alias("x")).collect()}
+        assert got == {i: qa.longest_run(*p) > limit for i, p in enumerate(pairs)}
+
+
+def test_validation_stays_in_the_jvm_and_takes_odd_rows(spark):
+    q, long = "what does the flag do exactly?", " ".join(f"word{i}" for i in range(30_000))
+    rows = [(q, None, "c"), (None, LONG, "c"), (q, LONG, None), (q, long, long[:100]), (q, long, "x " + long[200:])]
+    assert reasons(spark, rows) == ["answer_is_extraction", None, None, None, "answer_is_extraction"]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "question string, answer string, content string, overlap int, _in int")
+    out = qa.validate(df)
+    assert out.columns == [*df.columns, "reason"] and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    assert qa.validate(df.limit(0)).count() == 0
+
+
 def test_tolerant_responses():
     ok = '{"suitable": true, "questions": [{"question": "q", "answer": null}]}'
     assert qa.tolerant(ok) == (True, [("q", "None")])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.functions.text import content_words, normalize, strip
+from tidewright.functions.text import content_words, normalize, strip, words
 from tidewright.operators import redundancy
 from tidewright.sources.tables import staged
 
@@ -147,6 +147,21 @@ def overlap_ratio(answer: Column, content: Column) -> Column:
     return ratio(answer, content)
 
 
+def extracted(own: Column, within: Column, max_overlap: float = MAX_OVERLAP) -> Column:
+    """Whether more than ``max_overlap`` of the words ``own`` are one run of the text ``within`` (words with a
+    space before and after each); true if there are none and ``max_overlap`` is under 1. Both are best
+    columns, as each is read several times.
+
+    A run of more than half of the words has the middle ones in it, whatever its start: most pairs are
+    settled by one search for those."""
+    n = F.size(own)
+    low = F.floor(n * F.lit(max_overlap)).cast("int")
+    least = F.when(low / n > max_overlap, low).when((low + 1) / n > max_overlap, low + 1).otherwise(low + 2)
+    run = lambda start, length: F.contains(within, F.concat(F.lit(" "), F.array_join(F.slice(own, start, length), " "), F.lit(" ")))
+    middle = F.when(2 * least > n, run(n - least + 1, 2 * least - n)).otherwise(True)
+    return F.when(n == 0, F.lit(max_overlap < 1)).when((least > n) | ~middle, False).otherwise(F.exists(F.sequence(F.lit(1), n - least + 1), lambda i: run(i, least)))
+
+
 def any_of(c: Column, phrases: list[str]) -> Column:
     out = F.lit(False)
     for p in phrases:
@@ -154,22 +169,26 @@ def any_of(c: Column, phrases: list[str]) -> Column:
     return out
 
 
-def rejection(question: Column, answer: Column, overlap: Column, max_overlap: float = MAX_OVERLAP) -> Column:
-    """The first reason to reject a pair, or null."""
+def rejection(question: Column, answer: Column, extract: Column) -> Column:
+    """The first reason to reject a pair, or null. ``extract``: see extracted."""
     q, a = strip(question), strip(answer)
     lq, la = F.lower(q), F.lower(a)
     banned = F.get(F.filter(F.array(*map(F.lit, BANNED)), lambda p: F.contains(lq, p)), F.lit(0))
     return (
         F.when(F.length(q) < 15, "question_too_short").when(F.length(q) > 400, "question_too_long").when(~q.endswith("?"), "question_not_a_question").when(F.length(a) < 30, "answer_too_short")
         .when(banned.isNotNull(), F.concat(F.lit("meta_reference:"), banned)).when(any_of(la, SOURCED), "answer_references_source").when(any_of(la, REFUSED), "answer_is_refusal")
-        .when(overlap > max_overlap, "answer_is_extraction")
+        .when(extract, "answer_is_extraction")
     )
 
 
 def validate(pairs: DataFrame, max_overlap: float = MAX_OVERLAP) -> DataFrame:
-    """Adds overlap and reason to (question, answer, content)."""
-    scored = pairs.withColumn("overlap", overlap_ratio(strip(F.col("answer")), F.col("content")))
-    return scored.withColumn("reason", rejection(F.col("question"), F.col("answer"), F.col("overlap"), max_overlap))
+    """Adds reason to (question, answer, content). A null answer or content counts as empty. Whole texts are compared in the JVM;
+    how long the run is, ``overlap_ratio`` tells."""
+    blank = F.lit("")
+    own = words(normalize(F.coalesce(strip(F.col("answer")), blank)))
+    within = F.concat(F.lit(" "), F.array_join(words(normalize(F.coalesce("content", blank))), " "), F.lit(" "))
+    read = pairs.withColumns({"_own_words": own, "_in_words": within})
+    return read.withColumn("reason", rejection(F.col("question"), F.col("answer"), extracted(F.col("_own_words"), F.col("_in_words"), max_overlap))).drop("_own_words", "_in_words")
 
 
 def first_questions(valid: DataFrame, order: list[str]) -> DataFrame:
@@ -200,7 +219,7 @@ def gate(pairs: DataFrame, order: list[str], key: str = "gold_chunk_id", item: s
     """All gates in order, with one ``reason`` column: an outcome that the pairs bring along, validation,
     first question, redundant answer. Pairs are validated once and written; the gates then only add to
     the reason. ``order``: of all pairs, by which the first of equal questions is found."""
-    names = [*(c for c in pairs.columns if c != "outcome"), "overlap"]
+    names = [c for c in pairs.columns if c != "outcome"]
     brought = F.col("outcome") if "outcome" in pairs.columns else F.lit(None).cast("string")
     checked = validate(pairs, max_overlap).withColumn("reason", F.coalesce(brought, F.col("reason"))).withColumn("_norm", normalize(F.col("question")))
     checked = staged(checked.select(*names, "_norm", "reason", F.monotonically_increasing_id().alias("_row")), "checked")
