@@ -173,3 +173,20 @@ def test_gold_ranks_of_encoded_questions_against_all_pairs(spark):
     want = con.sql("""WITH s AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[])), 6) DESC, chunk_id) AS rank FROM q, i)
       SELECT qa_id, CASE WHEN rank <= 10 THEN rank END FROM a JOIN s ON query_id = qa_id AND chunk_id = gold_chunk_id""").fetchall()
     assert got == sorted(want)
+
+
+def test_blocks_are_sent_few_times_and_fit_a_task():
+    for n in (20_000, 114_000, 684_000):
+        n_q, n_i = R.blocks_of(n, n, 256)
+        assert n / n_q * 256 <= 8 * R.TILE and n / n_i * 256 <= 8 * R.TILE
+        assert (n_q * n + n_i * n) * 256 * 4 < 32e9  # bytes; 4,096 rows a block would be 234e9 of the largest
+    assert R.blocks_of(6_150, 615_000, 64) == (1, 32) and R.blocks_of(10, 10, 1) == (1, 1)
+
+
+def test_vectors_with_nulls_are_none_and_no_number_comes_first_in_any_parts(spark):
+    index = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)] + [(9, [float("nan"), 1.0]), (10, [None, 99.0]), (11, None)], "chunk_id int, embedding array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "query_id int, embedding array<double>")
+    for parts in (1, 5):
+        for block in (1, 10):
+            got = R.top_k(index.repartition(parts), asked, 2, block=block)
+            assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in got.collect()} == {(1, 1, 9), (1, 2, 8), (2, 1, 9), (2, 2, 0)}

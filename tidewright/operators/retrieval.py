@@ -16,7 +16,9 @@ from tidewright.functions.text import DOMAIN_WORDS, STOPWORDS, content_words, co
 from tidewright.sources.tables import staged
 
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "  # fixed: the encoder was trained with it
-BLOCK = 4_096  # queries, or vectors of the index, that meet in a task
+BLOCK = 4_096  # queries that are broadcast at most
+TILE, ROWS = 1 << 20, 1_024  # scores that are held at once, and vectors of the index they are with
+PAIRS = 32  # tasks at least, where blocks meet
 JOINT = "\n\n---\n\n"
 GROUNDED = "Answer from the numbered excerpts. Copy commands, names and paths exactly. Where the excerpts do not cover the question, say so first."
 PLAIN = "Answer questions about the documentation precisely."
@@ -87,34 +89,69 @@ def embed_queries(df: DataFrame, question: str, encoder, model: str, index_model
 
 
 def best_matches(q: np.ndarray, batches, k: int, digits: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """(scores, keys), k a query, of all (key, vector) batches; None without a vector of that length."""
-    best: tuple | None = None
+    """(scores, keys), k a query, of all (key, vector) batches; None without a vector of that length. Memory is that
+    of TILE scores, whatever the number of queries and vectors. Single precision finds what may be among the best,
+    with the bound of its error; those are scored in double precision. A score that is no number comes first, as in SQL."""
+    rough_q = q.astype(np.float32, copy=False)
+    slack = (q.shape[1] + 8) * 2.0**-23 * np.sqrt(np.einsum("ij,ij->i", q, q, dtype=float))
+    score, owners, seen = np.empty((len(q), 0)), None, 0
     for batch in batches:
         batch = batch.filter(pa.compute.equal(pa.compute.list_value_length(batch.column(1)), q.shape[1]))
-        if not batch.num_rows:
-            continue
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, q.shape[1])
-        score = np.round(q @ x.T, digits)
-        owners = np.broadcast_to(ids, score.shape)
-        if best is not None:
-            score, owners = np.concatenate([best[0], score], 1), np.concatenate([best[1], owners], 1)
-        order = np.lexsort((owners, -score), axis=1)[:, :k]
-        best = np.take_along_axis(score, order, 1), np.take_along_axis(owners, order, 1)
-    return best
+        for at in range(0, batch.num_rows, ROWS):
+            ids, vectors = (batch.column(i).slice(at, ROWS) for i in (0, 1))
+            ids = ids.to_numpy(zero_copy_only=False)
+            x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            rough_x = x.astype(np.float32, copy=False).T
+            margin = slack * np.sqrt(np.einsum("ij,ij->i", x, x, dtype=float)).max() + 10.0**-digits
+            width, seen = min(k, seen + len(ids)), seen + len(ids)
+            new_score, new_owners = (score, owners) if score.shape[1] == k else (np.empty((len(q), width)), np.empty((len(q), width), ids.dtype))
+            for a in range(0, len(q), TILE // ROWS):
+                own = slice(a, a + TILE // ROWS)
+                rough = rough_q[own] @ rough_x
+                if score.shape[1] == k:
+                    low = score[own, -1] - margin[own]
+                else:
+                    least = min(k, len(ids))
+                    low = np.partition(rough, len(ids) - least, axis=1)[:, len(ids) - least] - 2 * margin[own]
+                row, col = np.divmod(np.flatnonzero(~(rough < low[:, None].astype(np.float32))), len(ids))
+                if not len(row):
+                    continue
+                found = np.empty(len(row))
+                for i in range(0, len(row), step := max(1, TILE // q.shape[1])):
+                    found[i : i + step] = np.einsum("ij,ij->i", q[own][row[i : i + step]].astype(float), x[col[i : i + step]].astype(float))
+                changed = np.unique(row)
+                held = score.shape[1]
+                rows = np.concatenate([np.repeat(changed, held), row])
+                scores = np.concatenate([score[own][changed].ravel(), np.round(found, digits)])
+                keys = np.concatenate([owners[own][changed].ravel(), ids[col]]) if held else ids[col]
+                order = np.lexsort((keys, -scores, ~np.isnan(scores), rows))
+                first = np.searchsorted(rows[order], changed)
+                best = order[first[:, None] + np.arange(width)]
+                new_score[a + changed], new_owners[a + changed] = scores[best], keys[best]
+            score, owners = new_score, new_owners
+    return (score, owners) if seen else None
+
+
+def blocks_of(n_queries: int, n_vectors: int, dim: int, block: int = BLOCK) -> tuple[int, int]:
+    """How many blocks queries and index are dealt into. Each side is sent once for each block of the other, so
+    blocks are as large as a task may hold: eight times ``block`` rows, and 8 million numbers."""
+    rows = max(1, min(8 * block, 8 * TILE // dim))
+    n_q = max(1, -(-n_queries // rows))
+    return n_q, max(1, -(-n_vectors // rows), min(-(-PAIRS // n_q), -(-n_vectors // ROWS)))
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", query_key: str = "query_id", digits: int = 6, block: int = BLOCK) -> DataFrame:
     """query_id, rank, score, chunk: exact, by dot product; ties by key. Up to ``block`` queries are
-    broadcast to the index. More of them are dealt into blocks, as is the index, and each block of the one
-    meets each of the other in a task, so neither the driver nor a task sees all. A task returns k rows a
-    query, which meet in one window over the query. Query vectors that are null, hold nulls or differ from
-    most in length have no hits."""
+    broadcast to the index. More of them are dealt into blocks of up to eight times as many, as is the index, and
+    each block of the one meets each of the other in a task, so neither the driver nor a task sees all. A task
+    returns k rows a query, which meet in one window over the query. Query vectors that are null, hold nulls or
+    differ from most in length have no hits, and vectors of the index that are null, hold nulls or differ from the
+    queries' in length are none."""
     q_type, key_type = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, query_key), (index, key)))
     full = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
-    dim = queries.where(full).groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    dim = queries.where(full).groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
     queries = queries.where(full & (F.size("embedding") == (dim["dim"] if dim else 0))).select(query_key, "embedding")
-    index = index.select(key, "embedding")
+    index = index.where(full).select(key, "embedding")
     kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
 
     def rows_of(q_ids, best: tuple | None) -> dict[str, pa.Array]:
@@ -122,10 +159,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", q
         many = np.repeat(q_ids, score.shape[1]) if best is not None else []
         return {query_key: pa.array(many, q_type), key: pa.array(owners.ravel(), key_type), "score": pa.array(score.ravel(), pa.float64())}
 
-    rows = queries.limit(block + 1).collect()
-    if not rows:
+    if not dim or not dim["dim"]:
         found = queries.select(query_key).join(index.select(key).limit(0)).withColumn("score", F.lit(0.0)).limit(0)
-    elif len(rows) <= block:
+    elif dim["n"] <= block:
+        rows = queries.collect()
         shared = index.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)))
 
         def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +175,14 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", q
     else:
         # written once, so a lost task meets the same blocks again
         dealt, held = (staged(df.withColumn("row", F.monotonically_increasing_id()), name) for df, name in ((queries, "queries"), (index, "index")))
-        n_q, n_i = (max(1, -(-df.count() // block)) for df in (dealt, held))
+        n_q, n_i = blocks_of(dealt.count(), held.count(), dim["dim"], block)
 
         def meet(own: pa.Table, others: pa.Table) -> pa.Table:
             if not own.num_rows or not others.num_rows:
                 return pa.table(rows_of([], None))
             own = own.combine_chunks()
-            q = own.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(own.num_rows, -1)
-            best = best_matches(q, others.select([key, "embedding"]).to_batches(max_chunksize=1024), k, digits)
+            q = own.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(own.num_rows, -1)
+            best = best_matches(q, others.select([key, "embedding"]).to_batches(), k, digits)
             return pa.table(rows_of(own.column(query_key).to_numpy(), best))
 
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
