@@ -190,3 +190,17 @@ def test_vectors_with_nulls_are_none_and_no_number_comes_first_in_any_parts(spar
         for block in (1, 10):
             got = R.top_k(index.repartition(parts), asked, 2, block=block)
             assert {(r["query_id"], r["rank"], r["chunk_id"]) for r in got.collect()} == {(1, 1, 9), (1, 2, 8), (2, 1, 9), (2, 2, 0)}
+
+
+def test_memory_of_a_search_does_not_grow_with_its_queries():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = vectors(10_000, 16)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(list(x))], names=["chunk_id", "embedding"])
+    tracemalloc.start()
+    score, owners = R.best_matches(x[:3000].astype(float), [batch], 5, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and (owners[:, 0] == np.arange(3000)).all()  # all scores of the batch at once are 240 MB, several times over
