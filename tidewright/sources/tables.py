@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,34 @@ SCHEMAS = {
 }
 
 
+SLICE, CHARS = 256, 2_000_000  # rows, and characters, that a task's Python holds as objects
+
+
+def python_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of Arrow batches, a slice of them as objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, SLICE).columns))
+
+
+def arrow_batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of up to SLICE rows, or CHARS characters and a row more."""
+    held: list[tuple] = []
+    chars = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        chars += sum(len(v) for v in row if isinstance(v, str))
+        if len(held) == SLICE or chars >= CHARS:
+            yield batch()
+            held, chars = [], 0
+    if held:
+        yield batch()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once into the folder that the cluster names in spark.checkpoint.dir, and read
     back, so that several uses see the same rows in the same parts. In local mode, as in tests, a folder
