@@ -201,3 +201,11 @@ def test_top_dir_and_words(spark):
     assert [r[0] for r in df.select(T.top_dir(F.col("p"))).collect()] == ["Get-Started"] * 2
     one = spark.createDataFrame([("How do I\nuse-it now",)], "t string").select(T.normalize(F.col("t")).alias("n"), T.content_words(F.col("t"), glue=False).alias("w")).first()
     assert one["n"] == "how do iuseit now" and one["w"] == ["now"]
+
+
+def test_first_questions_validate_once(spark):
+    rows = [("a", 1, "What does the tool build in here?", "x"), ("b", 0, "what does the tool build in here?", None), ("c", 0, "Is this the only one of its kind?", None), ("d", 0, "what does the tool build in here?", None)]
+    pairs = spark.createDataFrame(rows, "doc_id string, item_idx int, question string, reason string").withColumn("reason", F.regexp_replace("reason", "x", "y"))
+    got = qa.first_questions(pairs, ["doc_id", "item_idx"], F.col("reason").isNull())
+    assert {(r["doc_id"], r["first"]) for r in got.collect()} == {("b", True), ("c", True), ("d", False)}
+    assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -192,10 +192,13 @@ def validate(pairs: DataFrame, max_overlap: float = MAX_OVERLAP) -> DataFrame:
     return read.withColumn("reason", reason).drop(*(set(read.columns) - set(pairs.columns)))
 
 
-def first_questions(valid: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``first``: whether a pair is the first with its normalised question. The first is found by
-    partial aggregation, so a very common question costs its tasks a row each."""
-    keyed = valid.withColumn("norm_q", normalize(F.col("question")))
+def first_questions(valid: DataFrame, order: list[str], among: Column | None = None) -> DataFrame:
+    """Adds ``first``: whether a pair is the first with its normalised question, of the pairs for which
+    ``among`` holds, if given; others are left out. The first is found by partial aggregation, so a very common
+    question costs its tasks a row each. The pairs are written once: they are read twice, and a filter on what
+    validation computes would be pushed below it, with a copy of its patterns for each use."""
+    keyed = valid.withColumn("norm_q", normalize(F.col("question"))).withColumn("_among", F.lit(True) if among is None else among)
+    keyed = staged(keyed, "questions").where("_among").drop("_among")
     low = keyed.groupBy("norm_q").agg(F.min(F.struct(*order)).alias("low"))
     return keyed.join(low, "norm_q").withColumn("first", F.struct(*order) == F.col("low")).drop("low")
 

@@ -197,8 +197,7 @@ def qa_validate(spark, sf_dir):
 
 @query(f"WITH {GATE_SQL} SELECT qa_id, k = 1 AS is_first FROM n")
 def question_dedup(spark, sf_dir):
-    checked = qa.validate(derive.qa(spark, sf_dir)).where("reason is null")
-    return qa.first_questions(checked, ["doc_id", "item_idx"]).select("qa_id", F.col("first").alias("is_first"))
+    return qa.first_questions(qa.validate(derive.qa(spark, sf_dir)), ["doc_id", "item_idx"], F.col("reason").isNull()).select("qa_id", F.col("first").alias("is_first"))
 
 
 @query(f"WITH RECURSIVE {QA_SQL}, {fold_sql('qa')} SELECT qa_id, redundant FROM r WHERE nth > 0")
