@@ -209,3 +209,15 @@ def test_first_questions_validate_once(spark):
     got = qa.first_questions(pairs, ["doc_id", "item_idx"], F.col("reason").isNull())
     assert {(r["doc_id"], r["first"]) for r in got.collect()} == {("b", True), ("c", True), ("d", False)}
     assert "regexp_replace" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_responses_are_parsed_in_slices(spark, monkeypatch):
+    import pandas as pd
+
+    seen = {}
+    monkeypatch.setattr(qa.F, "pandas_udf", lambda f, *a: seen.setdefault("f", f) and (lambda c: F.lit(None).cast(qa.PARSED)))
+    qa.parse_responses(spark.createDataFrame([("x",)], "raw string"))
+    raw = pd.Series([f'{{"questions": [{{"question": "q{i}", "answer": "a"}}]}}' if i % 3 else "none" for i in range(1000)])
+    parts = list(seen["f"](iter([raw, raw[:0]])))
+    assert max(map(len, parts)) <= 256 and sum(map(len, parts)) == 1000
+    assert [q and q[0]["question"] for p in parts for q in p["questions"]] == [f"q{i}" if i % 3 else None for i in range(1000)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.text import content_words, normalize, strip, words
 from tidewright.operators import redundancy
-from tidewright.sources.tables import staged
+from tidewright.sources.tables import SLICE, staged
 
 # Phrases by which a question gives its source away, in order of precedence.
 BANNED = [
@@ -88,13 +89,15 @@ def tolerant(raw: str | None) -> tuple[bool, list[tuple[str, str]]] | None:
 
 
 def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds ``parsed``; null where the response is of no use."""
+    """Adds ``parsed``; null where the response is of no use. A task parses a slice of its responses at a time."""
 
-    @F.pandas_udf(PARSED)
-    def parsed(s: pd.Series) -> pd.DataFrame:
-        got = [tolerant(x) for x in s]
-        return pd.DataFrame({"suitable": pd.array([None if g is None else g[0] for g in got], dtype="boolean"), "questions": [None if g is None else [{"question": q, "answer": a} for q, a in g[1]] for g in got]})
+    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                got = [tolerant(x) for x in batch.iloc[at : at + SLICE]]
+                yield pd.DataFrame({"suitable": pd.array([None if g is None else g[0] for g in got], dtype="boolean"), "questions": [None if g is None else [{"question": q, "answer": a} for q, a in g[1]] for g in got]})
 
+    parsed = F.pandas_udf(parsed, PARSED)
     return responses.withColumn("p", parsed(raw)).withColumn("parsed", F.when(F.col("p.suitable").isNotNull(), F.col("p"))).drop("p")
 
 
