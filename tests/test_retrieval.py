@@ -204,3 +204,34 @@ def test_memory_of_a_search_does_not_grow_with_its_queries():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6 and (owners[:, 0] == np.arange(3000)).all()  # all scores of the batch at once are 240 MB, several times over
+
+
+def test_memory_of_a_search_is_the_same_for_more_queries_and_vectors():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    peaks = []
+    for n_queries, n in ((1_000, 4_000), (4_000, 16_000)):
+        x = vectors(n, 64)
+        found = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(list(x))], names=["chunk_id", "embedding"])
+        tracemalloc.start()
+        score, owners = R.best_matches(x[:n_queries], [found.slice(0, 3_000), found.slice(3_000)], 11, 6)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert score.shape == (n_queries, 11) and (owners[:, 0] == np.arange(n_queries)).all()
+    assert peaks[1] < 1.5 * peaks[0] < 45e6  # 16 times the scores
+
+
+def test_memory_of_a_search_among_copies_is_that_of_a_tile():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x = np.full((4_000, 64), 0.125, np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(x))), pa.array(list(x))], names=["chunk_id", "embedding"])
+    tracemalloc.start()
+    score, owners = R.best_matches(x[:3_000], [batch], 11, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and (owners == np.arange(11)).all() and (score == 1).all()
